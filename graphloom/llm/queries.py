@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import p1_history_dedup, p3_neighbours, p4_rank, p5_near_duplicates, p6_components, p8_tokenize, p9_leakage
+from graphloom.llm import p1_history_dedup, p3_neighbours, p4_rank, p5_near_duplicates, p6_components, p8_tokenize, p9_leakage, p10_residue
 from graphloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +48,11 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return p9_leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p8_ids, p9_found, p9_clean)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_residue.residue(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p8_ids, p9_found, p9_clean, p10_found)}
 
 #: SQL on whole tables where it is feasible.
 ORACLES: dict[str, str] = {}
