@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+_LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
@@ -22,22 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
         return known.get().rstrip("/").rsplit("/", 1)[0]
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="graphloom-")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` reliably and continue from the files (never a localCheckpoint)."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="graphloom-")
+        _WRITTEN.append(_LOCAL[app])
+    return _LOCAL[app]
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
-    Parquet keeps column pruning and pushdown for the later readers, which a
-    checkpoint of whole rows does not.
+    This is how lineage is cut here.  The files survive the loss of any executor,
+    the plan is computed once (an eager checkpoint computes it twice), later
+    readers keep column pruning, and no constraints of the old plan are carried
+    into loops, where they would double with every join.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
@@ -45,9 +48,22 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    if path.startswith(("/", "file:")):
+        _WRITTEN.append(path.removeprefix("file:"))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a written table (never a localCheckpoint)."""
+    return written(df)
+
+
+@atexit.register
+def _clean() -> None:
+    for path in _WRITTEN:
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
