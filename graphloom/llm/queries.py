@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import p1_history_dedup, p3_neighbours, p4_rank, p5_near_duplicates, p6_components, p8_tokenize, p9_leakage, p10_residue
+from graphloom.llm import p1_history_dedup, p3_neighbours, p4_rank, p5_near_duplicates, p6_components, p7_clusters, p8_tokenize, p9_leakage, p10_residue
 from graphloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_components.match_groups(table(spark, d, "link_detail"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_clusters.Forest(table(spark, d, "store_request")).flat()
+
+
+def p7_clusters_described(spark: SparkSession, d: str) -> DataFrame:
+    return p7_clusters.clusters(table(spark, d, "store_request"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return p8_tokenize.encode_corpus(table(spark, d, "documents"))
 
@@ -52,7 +60,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_residue.residue(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p8_ids, p9_found, p9_clean, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_clusters_described, p8_ids, p9_found, p9_clean, p10_found)}
 
 #: SQL on whole tables where it is feasible.
 ORACLES: dict[str, str] = {}
