@@ -94,3 +94,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     spark.sparkContext.addPyFile(os.fspath(out))
     _SHIPPED[app] = os.fspath(out)
+
+
+def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """``df`` over all cores, for costly narrow maps over few input splits; large inputs stay as they are."""
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
