@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import written
+from graphloom.runtime import spread, written
 
 #: A line recurs in its host if it is in so many documents of it and in this share of them.
 RECURS, RECURS_SHARE = 5, 0.002
@@ -188,7 +188,7 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
         for b in batches:
             yield b.filter(pa.array([bool(t) and quick(t) for t in b.column(2).to_pylist()], pa.bool_()))
 
-    seen = written(rows.mapInArrow(possible, f"doc_id {kind}, host string, text string"), "possible-residue")
+    seen = written(spread(rows).mapInArrow(possible, f"doc_id {kind}, host string, text string"), "possible-residue")
     lines = seen.select("doc_id", "host", F.posexplode(F.split("text", "\n")).alias("pos", "x")).select("doc_id", "host", "pos", F.xxhash64(normal_line(F.col("x"))).alias("line"))
     again = lines.join(boilerplate(docs, host, text), ["host", "line"], "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("recurrent"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import p1_history_dedup, p3_neighbours, p4_rank, p5_near_duplicates, p6_components, p7_clusters, p8_tokenize, p9_leakage, p10_residue
+from graphloom.llm import p1_history_dedup, p2_pii, p3_neighbours, p4_rank, p5_near_duplicates, p6_components, p7_clusters, p8_tokenize, p9_leakage, p10_residue
 from graphloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_history_dedup.repeated_items(table(spark, d, "store_batch"), table(spark, d, "store_request"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pii.find(table(spark, d, "entity"), "id", ["content", "metadata"])
+
+
+def p2_masked(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pii.redact(table(spark, d, "entity"), "id", ["content", "metadata"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_neighbours.neighbours(table(spark, d, "store_request")).select("id", "neighbour_id")
 
@@ -60,7 +68,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_residue.residue(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_clusters_described, p8_ids, p9_found, p9_clean, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_clusters_described, p8_ids, p9_found, p9_clean, p10_found)}
 
 #: SQL on whole tables where it is feasible.
 ORACLES: dict[str, str] = {}
