@@ -41,7 +41,9 @@ DOT = re.compile(r"\.|\bdot\b", re.I)
 TITLES = set("dr prof mx mr mrs ms miss frau herr mme m mlle sr sra srta señor señora monsieur madame sir".split())
 NO_NAMES = set("agent agente team project projekt projet proyecto ticket build user nodes the and for regards grüße cordialement thx".split())
 
-
+#: Words of references that are not personal, and particles of names (fixed values).
+NOT_PERSONAL = set("txn ticket build run gx session version".split())
+PARTICLES = set("van der von de la del al den du da di el ibn".split())
 HASH = re.compile(r"(?i)(?<![^\W_])(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{11,}(?![^\W_])")
 
 
@@ -51,11 +53,13 @@ def plausible(kind: str, s: str) -> bool:
     words = WORD.findall(s)
     if HASH.search(s):
         return False
+    if kind in ("ID_NUMBER", "ADDRESS") and any(w.lower() in NOT_PERSONAL for w in words):
+        return False
     if kind == "EMAIL":
         at = AT.search(s)
         return bool(at and at.start() > 0 and DOT.search(s, at.end()) and not re.search(r"\s{2,}", s))
     if kind == "PHONE":
-        return 7 <= digits <= 17 and not DATE.search(s) and not NETWORK.search(s) and sum(map(len, words)) <= 4 and not re.search(r"[#_]|[^\W\d_]\d|\d[^\W\d_]", s)
+        return 8 <= digits <= 17 and not DATE.search(s) and not NETWORK.search(s) and sum(map(len, words)) <= 4 and not re.search(r"[#_]|[^\W\d_]\d|\d[^\W\d_]", s)
     if kind == "ID_NUMBER":
         return digits >= 5 and not DATE.search(s) and not NETWORK.search(s) and len(s) <= 60 and not re.search(r"[#_@]", s)
     if kind == "ADDRESS":
@@ -63,6 +67,9 @@ def plausible(kind: str, s: str) -> bool:
     named = [w for w in words if len(w) > 1 and w.lower() not in TITLES]
     if digits or not named or len(words) < 2 or len(s) > 60 or re.search(r"[@_#\d:{}\[\]<>]", s) or any(w.lower() in NO_NAMES for w in words):
         return False
+    parts = [w for w in named if w.lower() not in PARTICLES]
+    if any(w[0].isupper() for w in parts) and not all(w[0].isupper() for w in parts):
+        return False
     return max(map(len, named)) >= 3 and not re.search(r"[a-zà-ÿ][A-Z][a-zà-ÿ]", s)
 
 
