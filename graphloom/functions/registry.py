@@ -157,7 +157,7 @@ CASTS = {"INT64": "long", "BIGINT": "long", "INT32": "int", "INTEGER": "int", "D
 simple("COALESCE", lambda *a: F.coalesce(*a), 1, 99)
 simple("IFNULL ISNULL", lambda a, b: F.coalesce(a, b), 2)
 simple("NULLIF", lambda a, b: F.nullif(a, b), 2)
-simple("IF IIF", lambda c, a, b: F.when(c, a).otherwise(b), 3)
+simple("IF IIF", lambda c, a, b: F.when(c.cast("boolean"), a).otherwise(b), 3)
 simple("IS_NULL", lambda x: x.isNull(), 1)
 simple("IS_NOT_NULL", lambda x: x.isNotNull(), 1)
 fn("TO_INT INTEGER", 1)(lambda a, k: a[0].try_cast("long") if not isinstance(k[0], T.StringType) else F.coalesce(a[0].try_cast("long"), F.lit(None).cast("long")))

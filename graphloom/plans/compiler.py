@@ -162,7 +162,7 @@ class Compiler:
     def _case(self, subject, whens, other) -> Column:
         out = None
         for cond, value in whens:
-            test = self._bin("=", subject, cond) if subject is not None else self.expr(cond)
+            test = self._bin("=", subject, cond) if subject is not None else self.expr(cond).cast("boolean")
             out = (F if out is None else out).when(test, self.expr(value))
         return out.otherwise(self.expr(other)) if other is not None else out
 
@@ -519,7 +519,7 @@ class Compiler:
             self.df = self.frame().join(right, cond, "left_anti" if anti else "left_semi")
             return
         before = self.df.columns if self.df is not None else []
-        cond = self.expr(e)
+        cond = self.expr(e).cast("boolean")
         self.df = self.frame().where(cond)
         if before and self.df.columns != before:
             self.df = self.df.select(*map(c, before))
