@@ -156,11 +156,13 @@ def full_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'vector index')")
 def substring_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return search.contains(docs, "doc_id", "text", "vector index", search.trigrams(docs, "doc_id", "text")).select("doc_id")
+    return search.contains(table(spark, d, "documents"), "doc_id", "text", "vector index").select("doc_id")
 
 
-CURRENT = "c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY valid_from DESC, access_count DESC NULLS LAST) AS r FROM entity WHERE valid_until IN (0, 9223372036854775807)) WHERE r = 1)"
+@query("SELECT p_partkey FROM part WHERE contains(p_type, 'BRUSH')")
+def trigram_search(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part")
+    return search.contains(parts, "p_partkey", "p_type", "BRUSH", search.trigrams(parts, "p_partkey", "p_type")).select("p_partkey")
 
 
 def _store(spark: SparkSession, d: str) -> memory.MemoryStore:
