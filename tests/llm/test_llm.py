@@ -57,7 +57,7 @@ def batches(spark, rows):
 
 @pytest.mark.parametrize("block", [2, 64])
 def test_p1_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(p1.ChunkStore.near, "__defaults__", (p1.LIKENESS, p1.COVERAGE, block))
+    monkeypatch.setattr(p1.ChunkStore.near, "__defaults__", (p1.LIKENESS, block))
     texts = near_texts(120, 5)
     hist, rest = texts[:50], texts[50:]
     rows = [(i, rest[i * 7 : i * 7 + 7]) for i in range(10)]
