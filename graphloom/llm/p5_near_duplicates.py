@@ -105,7 +105,8 @@ def blocks(sets: DataFrame, t: float = LIKENESS, block: int = BLOCK, sides: str
         state = checkpoint(state)
         asked = F.sum(F.col(sides).cast("int")) if sides else F.count(F.lit(1))
         count = state.groupBy("key").agg(F.count(F.lit(1)).alias("c"), asked.alias("asked")).where("c > 1 and asked > 0")
-        cold = state.join(count.where(F.col("c") <= block).select("key"), "key", "left_semi").select("key", *keep)
+        count = checkpoint(count)
+        cold = checkpoint(state.join(count.where(F.col("c") <= block).select("key"), "key", "left_semi").select("key", *keep))
         hot = checkpoint(state.join(count.where(F.col("c") > block).select("key"), "key", "left_semi"))
         out = cold if out is None else out.unionByName(cold)
         if hot.isEmpty():
@@ -115,7 +116,7 @@ def blocks(sets: DataFrame, t: float = LIKENESS, block: int = BLOCK, sides: str
         ends = ends.withColumn("m", F.explode(F.sequence(F.lit(level), F.floor(F.lit(level) / t + 1e-9).cast("int"))))
         ends = ends.where(least_overlap(F.col("n"), F.col("m"), t) <= level)
         ends = ends.withColumn("key", F.xxhash64("key", F.least("n", "m"), F.greatest("n", "m"), F.lit("end")))
-        out = out.unionByName(ends.select("key", *keep))
+        out = out.unionByName(checkpoint(ends.select("key", *keep)))
         # Everything else shares at least one more word: the first of them splits the block.
         rest = hot.join(sets.select("sid", "toks").distinct() if sides else sets.select("sid", "toks"), "sid")
         upto = F.least(F.col("n"), F.col("n") - _alpha(F.col("n"), t) + level + 1)
