@@ -37,7 +37,7 @@ from graphloom.runtime import checkpoint, written
 
 LIKENESS = 0.7
 #: Rows in a block before it is split by one more shared word.
-BLOCK = 64
+BLOCK = 256
 #: Words that get a place in the global order by frequency; all rarer ones come before, by hash.
 FREQUENT = 50_000
 SETS = "sid long, n int, toks array<long>, b0 long, b1 long, b2 long, b3 long"
