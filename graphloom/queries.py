@@ -159,10 +159,10 @@ def substring_search(spark: SparkSession, d: str) -> DataFrame:
     return search.contains(table(spark, d, "documents"), "doc_id", "text", "vector index").select("doc_id")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(p_type, 'BRUSH')")
+@query("SELECT p_partkey FROM part WHERE contains(p_type, 'CONO')")
 def trigram_search(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part")
-    return search.contains(parts, "p_partkey", "p_type", "BRUSH", search.trigrams(parts, "p_partkey", "p_type")).select("p_partkey")
+    return search.contains(parts, "p_partkey", "p_type", "CONO", search.trigrams(parts, "p_partkey", "p_type")).select("p_partkey")
 
 
 def _store(spark: SparkSession, d: str) -> memory.MemoryStore:
