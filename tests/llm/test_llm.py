@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -94,6 +95,17 @@ def test_p1_incremental(spark, tmp_path):
     assert s.records().count() == 1
 
 
+def test_p1_near_copies_of_one_long_text(spark, monkeypatch):
+    """All chunks are shared by more than a block; an own word late in both streams leaves no run that reaches the end."""
+    monkeypatch.setattr(p1, "TILE", 600)
+    late = (w for w in (f"x{i}" for i in itertools.count()) if xxhash.xxh64_intdigest(w) > 0.97 * 2**64)
+    words = [f"template{i}" for i in range(30)]
+    texts = [" ".join([*words[:27], next(late), *words[27:]]) for _ in range(1500)]
+    none = spark.createDataFrame([], "content string")
+    got = {tuple(r) for r in p1.repeated_items(batches(spark, [(0, texts[:700]), (1, texts[700:])]), none).collect()}
+    assert got == {(0, i) for i in range(1, 700)} | {(1, i) for i in range(800)}
+
+
 # -- 2
 def test_p2_gradients():
     m = p2_model.Tagger.fresh(5, seed=1)
