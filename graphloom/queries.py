@@ -76,6 +76,7 @@ add("two_hops", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:CUSTOMER_OF]-(c:Cu
 add("four_hops", "MATCH (c:Customer)-[:PLACED]->(o:Orders)-[l:CONTAINS_PART]->(p:Part) WHERE l.l_quantity > 45 AND p.p_size < 5 RETURN c.c_mktsegment AS seg, p.p_brand AS brand, count(*) AS n, ROUND(sum(l.l_extendedprice)) AS total", "SELECT c_mktsegment AS seg, p_brand AS brand, count(*) AS n, round(sum(l_extendedprice)) AS total FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45 AND p_size < 5 GROUP BY 1, 2")
 add("either_direction", "MATCH (a:Nation)-[r:NEXT]-(b:Nation) RETURN a.n_nationkey AS a, count(*) AS n", "WITH e AS (SELECT n_nationkey AS s, (n_nationkey * 3 + 1) % 25 AS d FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation), b AS (SELECT s, d FROM e UNION ALL SELECT d, s FROM e WHERE s <> d) SELECT s AS a, count(*) AS n FROM b GROUP BY s")
 add("unique_rels", "MATCH (a:Part)<-[x:CONTAINS_PART]-(o:Orders)-[y:CONTAINS_PART]->(b:Part) WHERE o.o_orderkey < 400 RETURN o.o_orderkey AS k, count(*) AS n", "SELECT x.l_orderkey AS k, count(*) AS n FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND (x.l_linenumber <> y.l_linenumber) WHERE x.l_orderkey < 400 AND x.l_orderkey IN (SELECT o_orderkey FROM orders) AND x.l_partkey IN (SELECT p_partkey FROM part) AND y.l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1")
+add("unique_rels_all", "MATCH (a:Part)<-[x:CONTAINS_PART]-(o:Orders)-[y:CONTAINS_PART]->(b:Part) RETURN o.o_orderkey AS k, count(*) AS n", "SELECT x.l_orderkey AS k, count(*) AS n FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND (x.l_linenumber <> y.l_linenumber) WHERE x.l_orderkey IN (SELECT o_orderkey FROM orders) AND x.l_partkey IN (SELECT p_partkey FROM part) AND y.l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1")
 add("optional_match", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 200000 RETURN c.c_custkey AS k, count(o.o_orderkey) AS n", "SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY 1")
 add("exists_semi", "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_orderstatus = 'F' AND o.o_totalprice > c.c_acctbal } RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > c_acctbal)")
 add("exists_anti", "MATCH (c:Customer) WHERE NOT EXISTS { MATCH (c)-[:PLACED]->(o:Orders) } RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")

@@ -5,6 +5,7 @@ import os
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphloom import Engine
 from graphloom.functions.registry import jaro_winkler
@@ -229,3 +230,13 @@ def test_entry_point(spark):
     assert len(q) > 40 and set(o) <= set(q)
     if os.path.isdir("/root/testdata/sf0.001"):
         assert entry.entry(spark).count() > 0
+
+
+def test_unique_rels_all_takes_every_order(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    lines = spark.createDataFrame([(k, n, 1 + n) for k in (1, 399, 400, 5000) for n in range(3)], "l_orderkey int, l_linenumber int, l_partkey int")
+    for name, df in {"lineitem": lines.withColumn("l_suppkey", F.lit(1)), "orders": spark.createDataFrame([(k, 1, None) for k in (1, 399, 400, 5000)], "o_orderkey int, o_custkey int, o_orderdate date"), "part": spark.createDataFrame([(i,) for i in (1, 2, 3)], "p_partkey int"), "nation": spark.createDataFrame([(0, 0)], "n_nationkey int, n_regionkey int"), "region": spark.createDataFrame([(0,)], "r_regionkey int"), "customer": spark.createDataFrame([(1, 0)], "c_custkey int, c_nationkey int"), "supplier": spark.createDataFrame([(1, 0)], "s_suppkey int, s_nationkey int"), "documents": spark.createDataFrame([(1,)], "doc_id int"), "events": spark.createDataFrame([(1,)], "event_id int")}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = entry.queries()["unique_rels_all"](spark, str(tmp_path)).collect()
+    assert {(r.k, r.n) for r in got} == {(k, 6) for k in (1, 399, 400, 5000)}
