@@ -135,6 +135,24 @@ def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbourhood(start, engine(spark, d).catalog.get("NEXT").df, 2).select(F.col("v").alias("id"), F.col("d").alias("hops"))
 
 
+# traversals of a growing, skewed edge table
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """(_src, _dst): the distinct links of link_detail, ids trimmed; NULL and empty ids name nothing."""
+    t = table(spark, d, "link_detail").select(F.trim("source_id").alias("_src"), F.trim("target_id").alias("_dst"))
+    return t.where("_src <> '' and _dst <> ''").distinct()
+
+
+@query()
+def link_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "entity").select(F.trim("id").alias("_id")).where("_id <> ''")
+    return graph.pagerank(nodes, links(spark, d)).select(F.col("_id").alias("id"), "rank")
+
+
+@query()
+def link_triangles(spark: SparkSession, d: str) -> DataFrame:
+    return graph.triangles(links(spark, d))
+
+
 # search
 @query("WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) SELECT vec_id AS id, round((1 - list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[])) * 1e6) AS distance FROM embeddings, q ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[]), vec_id LIMIT 10")
 def vector_search(spark: SparkSession, d: str) -> DataFrame:

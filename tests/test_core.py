@@ -1,5 +1,6 @@
 """Small graphs with expected rows, functions, writes, search, memory and streams."""
 
+import itertools
 import os
 
 import pytest
@@ -240,3 +241,27 @@ def test_unique_rels_all_takes_every_order(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     got = entry.queries()["unique_rels_all"](spark, str(tmp_path)).collect()
     assert {(r.k, r.n) for r in got} == {(k, 6) for k in (1, 399, 400, 5000)}
+
+
+def test_link_queries_brute_force(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    pairs = [(f"e{i}", "e0") for i in range(1, 30)] + [(f"e{i}", f"e{i + 1}") for i in range(1, 20)] + [("e0", "e5"), ("e3", "e3")]
+    dirt = [(" e1 ", "e0"), (None, "e0"), ("", "e1"), ("e2", None)]
+    ids = [f"e{i}" for i in range(32)]
+    spark.createDataFrame([(i,) for i in [*ids, " e1", None]], "id string").write.parquet(f"{tmp_path}/entity.parquet")
+    spark.createDataFrame(pairs + dirt, "source_id string, target_id string").write.parquet(f"{tmp_path}/link_detail.parquet")
+    und = {frozenset(p) for p in pairs if p[0] != p[1]}
+    want = {t for t in itertools.combinations(sorted(ids), 3) if all(frozenset(p) in und for p in itertools.combinations(t, 2))}
+    assert {tuple(r) for r in entry.queries()["link_triangles"](spark, str(tmp_path)).collect()} == want
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    out = {i: [b for a, b in pairs if a == i] for i in ids}
+    for _ in range(25):
+        lost = sum(rank[i] for i in ids if not out[i])
+        nxt = dict.fromkeys(ids, (0.15 + 0.85 * lost) / len(ids))
+        for i in ids:
+            for b in out[i]:
+                nxt[b] += 0.85 * rank[i] / len(out[i])
+        rank = nxt
+    got = dict(tuple(r) for r in entry.queries()["link_pagerank"](spark, str(tmp_path)).collect())
+    assert got == pytest.approx(rank)
