@@ -371,12 +371,33 @@ def test_p9_brute_force_and_blocks(spark):
         ("", False),
         ("   \n", False),
         (None, False),
+        ("Dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore.", True),
+        ("Duis aute irure dolor in reprehenderit in voluptate velit esse cillum.", True),
+        ("Excepteur sint occaecat cupidatat non proident.", True),
+        ("Oops! We can't find that page.", True),
+        ("Fatal error: Uncaught exception", True),
+        ("Database connection error", True),
+        ("Dear FIRSTNAME LASTNAME, your order ORDERNUMBER", True),
+        ("Ceci est un texte provisoire", True),
+        ("Die angeforderte Seite wurde nicht gefunden. Bitte versuchen Sie es später noch einmal.", True),
+        ("503 Service Temporarily Unavailable\nPlease contact the administrator if the error persists.", True),
+        ("This site requires JavaScript to work. Please switch on scripts in your browser.", True),
+        ("We traced the 503 errors to a full disk on the second replica, moved the logs to the archive and restarted the writers.", False),
+        ("Designers paste lorem ipsum into a draft so that nobody reads the words while they look at the columns.", False),
     ],
 )
 def test_p10_cases(text, want):
     assert p10.is_residue(text) is want
 
 
+def test_p10_standing_sentences_are_learned(spark):
+    told = "The kettle of the archive rests for now"
+    rows = [(i, f"404 Not Found\nThe requested page does not exist.\n{told} ({i})", f"h{i}") for i in range(5)] + [(10, told, "h"), (11, "A long note on rivers, bridges and the towns beside them, written in spring.", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert not p10.is_residue(rows[0][1])
+    assert {r.doc_id for r in p10.residue(df).collect()} == set(range(5))
+
+
 def test_p10_boilerplate_and_edges(spark):
     rows = [(i, "Cookie notice of this site applies here.\n404 Not Found", "host/a") for i in range(8)] + [(100, None, "host/a"), (101, "", None), (102, "A real text about the map of the town and its rivers.", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit("x"))
