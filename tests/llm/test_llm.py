@@ -136,6 +136,60 @@ def test_p2_held_out_accuracy():
     assert hit / found > 0.93 and hit / true > 0.93
 
 
+#: Ordinary sentences; no name, street, host or wording of them is in the generator's lists.
+ORDINARY = [
+    ("Siobhan Gallagher reviewed the draft on Thursday.", {"NAME"}),
+    ("Das Gutachten stammt von Brigitte Vogel aus Kassel.", {"NAME"}),
+    ("Le dossier a été transmis à Thibault Chevalier ce matin.", {"NAME"}),
+    ("El paquete lo recogió Ximena Villalobos en recepción.", {"NAME"}),
+    ("Questions about payroll go to Mrs. Abernathy.", {"NAME"}),
+    ("He wrote to tadeusz.zielinski@poczta.pl about the delay.", {"EMAIL"}),
+    ("Unsubscribe by writing to newsletter@gartenfreunde.at any time.", {"EMAIL"}),
+    ("For support use help (at) kayakclub (dot) nz instead.", {"EMAIL"}),
+    ("The helpline 0800 123 4567 is open around the clock.", {"PHONE"}),
+    ("Rufen Sie uns an: 0221 / 47 11 08 15.", {"PHONE"}),
+    ("My cell is (415) 867-5309, leave a message.", {"PHONE"}),
+    ("Son portable est le 06 12 34 56 78.", {"PHONE"}),
+    ("The clerk copied passport number 533380006 from the booklet.", {"ID_NUMBER"}),
+    ("Her SSN 078-05-1120 was printed on the wallet card.", {"ID_NUMBER"}),
+    ("Seine Steuernummer 93815/08152 steht auf dem Bescheid.", {"ID_NUMBER"}),
+    ("The inspector lives at 221B Harley Street, Edinburgh.", {"ADDRESS"}),
+    ("Die Praxis liegt in der Lindwurmstraße 88, 80337 Augsburg.", {"ADDRESS"}),
+    ("Le colis part au 7 rue Lecourbe, 37000 Tours.", {"ADDRESS"}),
+    ("La tienda está en Calle Serrano 45, Córdoba.", {"ADDRESS"}),
+    ("Version 11.2.0 of the driver fixes 37 defects.", set()),
+    ("The cluster at 10.1.22.9 rebooted at 03:14:15 on 2023-11-05.", set()),
+    ("Commit 4f9c2e1ab7d0 closes ticket #88213.", set()),
+    ("The Baltic Exchange published its freight index.", set()),
+    ("We drove from Aarhus to Flensburg in two hours.", set()),
+    ("Ein Drittel der 48210 Knoten war nach 12 Minuten leer.", set()),
+]
+
+
+def test_p2_ordinary_sentences_of_other_sources():
+    from pathlib import Path
+
+    source = Path(p2_train.__file__).read_text()
+    assert not [w for w in ("Gallagher", "Brigitte", "Villalobos", "Abernathy", "Lindwurm", "Lecourbe", "Serrano", "Harley") if w in source]
+    got = p2_pii.detect(p2_model.Tagger(p2_pii.weights()), [t for t, _ in ORDINARY])
+    found = [{x[2] for x in g} for g in got]
+    hit = sum(len(f & want) for f, (_, want) in zip(found, ORDINARY, strict=True))
+    assert hit >= 0.8 * sum(len(w) for _, w in ORDINARY) and hit >= 0.8 * sum(map(len, found))
+
+
+def test_p2_stretches_decode_like_the_whole():
+    r = np.random.default_rng(5)
+    m = p2_model.Tagger({k: v + (0.3 * r.standard_normal(v.shape) if k in ("start", "end") else 0) for k, v in p2_pii.weights().items()})
+    scores = []
+    for n in (1, 2, 7, 60, 300, 0):
+        e = r.standard_normal((n, p2_model.N)).astype(np.float32) * 4
+        e[r.random(n) < 0.6, 0] += 60
+        scores.append(e)
+    for e, got in zip(scores, m.decoded(scores), strict=True):
+        if len(e):
+            assert (m.viterbi(e[:, None], np.array([len(e)]))[:, 0] == got).all()
+
+
 def test_p2_mask_and_edges(spark):
     text = "Reported by Petra Hollowfield; no reply yet. Write to rosa59@quillpost.example when it is done. Build 4.7.9-723 on 192.0.2.26 took 31 rows."
     rows = [("a", text, 1), ("b", None, 1), ("c", "", 1), ("d", "   ", 1), ("e", "x " * 30_000 + text, 1), ("a", text, 1)]
