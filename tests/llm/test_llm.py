@@ -95,6 +95,35 @@ def test_p1_incremental(spark, tmp_path):
     assert s.records().count() == 1
 
 
+def test_p1_many_appends_with_a_late_one(spark, tmp_path):
+    texts = near_texts(60, 77)
+    places = [(b, i, texts[b * 10 + i]) for b in range(6) for i in range(10)]
+    s = p1.ChunkStore(spark, str(tmp_path / "late"))
+    frame = lambda b: spark.createDataFrame([p for p in places if p[0] in b], "batch_id long, pos long, content string")
+    got = set()
+    for b in (0, 2, 1, 5, 3, 4):  # a batch of a smaller number comes after a larger one
+        s.append(frame([b]), "content", "batch_id", "pos")
+    for b in (1, 4):  # each checked by itself against all that is there
+        got |= {tuple(r) for r in s.check(frame([b])).collect()}
+    want = {(b, i) for b, i, t in places if b in (1, 4) and any(likeness(t, u) >= 0.7 for c, j, u in places if (c, j) < (b, i))}
+    assert got == want and want
+    first = s.seen(s.records()).toPandas()
+    assert len(first) == s.records().count()
+    # what was written without a commit mark is not read
+    n = s.chunks().count()
+    frame([0]).select("batch_id").write.parquet(str(tmp_path / "late" / "parts" / "000099-torn" / "chunks"))
+    s.refresh()
+    assert s.chunks().count() == n
+
+
+def test_p1_rolling_cuts_are_local():
+    r = random.Random(3)
+    w = [f"{r.choice('abcdefgh')}word{r.randrange(99)}" for _ in range(200)]
+    a, b = p1.chunks(w), p1.chunks([*w[:100], "inserted", *w[100:]])
+    assert len(set(a) ^ set(b)) <= 4 and len(a) > 40
+    assert [c.tolist() for c in p1.cuts([w, ["x"], w])] == [p1.cuts([w])[0].tolist(), p1.cuts([["x"]])[0].tolist(), p1.cuts([w])[0].tolist()]
+
+
 def test_p1_near_copies_of_one_long_text(spark, monkeypatch):
     """All chunks are shared by more than a block; an own word late in both streams leaves no run that reaches the end."""
     monkeypatch.setattr(p1, "TILE", 600)
