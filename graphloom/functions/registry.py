@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 Build = Callable[[list[Column], list], Column]
 SCALARS: dict[str, tuple[Build, int, int]] = {}
+#: Functions whose expression depends on the types of their arguments; only for these are types resolved.
+TYPED: set[str] = set()
 ALIASES: dict[str, str] = {}
 USER: dict[str, Callable] = {}
 
@@ -24,6 +26,7 @@ def fn(names: str, least: int, most: int | None = None) -> Callable[[Build], Bui
     def put(f: Build) -> Build:
         for n in names.split():
             SCALARS[n] = (f, least, least if most is None else most)
+            TYPED.add(n)
         return f
 
     return put
@@ -31,6 +34,7 @@ def fn(names: str, least: int, most: int | None = None) -> Callable[[Build], Bui
 
 def simple(names: str, f: Callable[..., Column], n: int, most: int | None = None) -> None:
     fn(names, n, most)(lambda a, k: f(*a))
+    TYPED.difference_update(names.split())
 
 
 def is_list(kind) -> bool:
@@ -80,7 +84,7 @@ simple("GEN_RANDOM_UUID", lambda: F.expr("uuid()"), 0)
 
 
 def _concat_ws(a: list[Column]) -> Column:
-    return F.replace(F.array_join(F.filter(F.array(*[S(x) for x in a[1:]]), lambda x: x.isNotNull()), "\u0001"), F.lit("\u0001"), S(a[0]))
+    return F.call_function("concat_ws", *[S(x) for x in a])
 
 
 fn("CONCAT_WS", 2, 99)(lambda a, k: _concat_ws(a))
@@ -130,7 +134,7 @@ _log = lambda f: lambda x: F.when(D(x) > 0, f(D(x))).when(D(x) == 0, F.lit(float
 simple("LN", _log(F.ln), 1)
 simple("LOG LOG10", _log(F.log10), 1)
 simple("LOG2", _log(F.log2), 1)
-simple("SIGN", lambda x: F.signum(D(x)), 1)
+simple("SIGN", lambda x: F.when(D(x) == 0, F.lit(1.0)).otherwise(F.signum(D(x))), 1)  # zero counts as positive
 simple("POW POWER", lambda x, y: F.pow(D(x), D(y)), 2)
 simple("MOD", lambda x, y: F.try_mod(D(x), D(y)), 2)
 simple("ATAN2", lambda y, x: F.atan2(D(y), D(x)), 2)
@@ -220,11 +224,15 @@ simple("LIST_CONTAINS", lambda x, e: F.array_contains(x, e), 2)
 fn("RANGE", 2, 3)(lambda a, k: _range(*[x.try_cast("long") for x in a]))
 
 
+#: Elements of a range at most.
+LONGEST = 10_000_000
+
+
 def _range(a: Column, b: Column, step: Column | None = None) -> Column:
     step = F.lit(1).cast("long") if step is None else step
     fits = ((step > 0) & (a <= b)) | ((step < 0) & (a >= b))
     if_ok = F.sequence(a, F.when(fits, b).otherwise(a), F.when(fits, step).otherwise(F.lit(1).cast("long")))
-    return F.when(a.isNull() | b.isNull() | step.isNull(), F.lit(None)).when(step == 0, F.raise_error(F.lit("the step of RANGE is 0"))).when(fits, if_ok).otherwise(F.array().cast("array<bigint>"))
+    return F.when(a.isNull() | b.isNull() | step.isNull(), F.lit(None)).when(step == 0, F.raise_error(F.lit("the step of RANGE is 0"))).when(fits & (F.abs(F.try_divide(b - a, step)) >= LONGEST), F.raise_error(F.lit("RANGE holds too many elements"))).when(fits, if_ok).otherwise(F.array().cast("array<bigint>"))
 
 
 simple("LIST_APPEND", lambda x, e: F.array_append(x, e), 2)
@@ -262,7 +270,8 @@ simple("MAP_EXTRACT", lambda m, k: F.try_element_at(m, k), 2)
 simple("MAP_REMOVE", lambda m, k: F.map_filter(m, lambda a, _: a != k), 2)
 simple("MAP_CONTAINS_KEY", lambda m, k: F.map_contains_key(m, k), 2)
 simple("MAP_CONTAINS_VALUE", lambda m, v: F.array_contains(F.map_values(m), v), 2)
-simple("STRUCT_PACK", lambda k, v: F.map_from_arrays(k, v), 2)
+simple("STRUCT_PACK", lambda k, v: F.map_from_arrays(k, v), 2)  # with literal keys the compiler builds a struct
+fn("STRUCT_EXTRACT", 2)(lambda a, k: F.try_element_at(a[0], a[1]) if isinstance(k[0], T.MapType) else F.lit(None))  # of a struct in the compiler
 simple("JSON_PARSE", lambda s: F.try_parse_json(S(s)), 1)
 fn("JSON_SERIALIZE", 1)(lambda a, k: F.to_json(a[0]) if isinstance(k[0], T.StructType | T.ArrayType | T.MapType | T.VariantType) else F.when(a[0].isNotNull(), F.regexp_replace(F.to_json(F.struct(a[0].alias("x"))), r"^\{\"x\":|\}$", "")))
 simple("NODES", lambda p: F.filter(p, lambda x, i: i >= 0), 1)
@@ -285,11 +294,29 @@ def register(name: str, f: Callable, returns: str = "double") -> None:
     USER[name.upper()] = F.pandas_udf(f, returns)
 
 
+#: User aggregates: a function of the list of a group's values.
+USER_AGGREGATES: dict[str, Callable] = {}
+
+
+def register_aggregate(name: str, f: Callable, returns: str = "double") -> None:
+    """A user aggregate over one group's values as a pandas Series, called as NAME(x); groups must fit a task."""
+    import pandas as pd
+
+    def whole(v: pd.Series) -> float:
+        return f(v)
+
+    whole.__annotations__ = {"v": pd.Series, "return": float if returns == "double" else int if returns in ("long", "int") else str}
+    USER_AGGREGATES[name.upper()] = F.pandas_udf(whole, returns)
+    AGGREGATES.add(name.upper())
+
+
 # -- aggregates
 AGGREGATES = set("COUNT COUNT_DISTINCT SUM AVG MIN MAX COLLECT COLLECT_DISTINCT STDDEV STDDEV_POP STDDEV_SAMP VAR VARIANCE VAR_POP VAR_SAMP GROUP_CONCAT MEDIAN".split())
 
 
 def aggregate(name: str, arg: Column | None, distinct: bool, kind=None) -> Column:
+    if name in USER_AGGREGATES:
+        return USER_AGGREGATES[name](arg)
     if name == "COUNT" and arg is None:
         return F.count(F.lit(1))
     if name == "COUNT_DISTINCT" or (name == "COUNT" and distinct):

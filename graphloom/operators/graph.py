@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,11 +86,41 @@ def shortest_paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, leas
     return out
 
 
+def paths_to_any(starts: DataFrame, ends: DataFrame, edges: DataFrame, least: int = 1, most: int | None = None, every: bool = False) -> DataFrame:
+    """(s, t, path) from each start (s) to each of the ends (t) it reaches; no pairs are formed before they are met.
+
+    The search goes out from the starts, level by level; what arrives at an end is
+    kept by a semi join, so unbound ends cost no product of starts and ends.
+    """
+    step = edges.select("_src", "_dst").distinct()
+    front = checkpoint(starts.select("s", F.col("s").alias("v"), F.array("s").alias("path")).distinct())
+    seen = front.select("s", "v")
+    out, level = None, 0
+    while most is None or level < most:
+        level += 1
+        nxt = front.join(step, front["v"] == step["_src"]).select("s", F.col("_dst").alias("v"), F.concat("path", F.array("_dst")).alias("path"))
+        nxt = nxt.join(seen, ["s", "v"], "left_anti")
+        if not every:
+            nxt = nxt.groupBy("s", "v").agg(F.min("path").alias("path"))
+        nxt = checkpoint(nxt)
+        if nxt.isEmpty():
+            break
+        if level >= least:
+            got = nxt.join(ends, nxt["v"] == ends["t"], "left_semi").select("s", F.col("v").alias("t"), "path")
+            out = got if out is None else out.unionByName(got)
+        seen = checkpoint(seen.unionByName(nxt.select("s", "v").distinct()))
+        front = nxt
+    if out is None:
+        kind = dict(starts.dtypes)["s"]
+        return starts.sparkSession.createDataFrame([], f"s {kind}, t {kind}, path array<{kind}>")
+    return out.where("s <> t")
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 25, cut_every: int = 5) -> DataFrame:
     """(_id, rank): ranks add up to 1; nodes without edges out share their rank with all.
 
-    The graph side is joined with its out-degrees once and kept partitioned by
-    source; a round is one join, one aggregate and one sum for the dangling mass.
+    The graph side is joined with its out-degrees once, partitioned by source and
+    persisted, so no round shuffles it again; a round is one join, one aggregate and one sum for the dangling mass.
     """
     nodes = checkpoint(nodes.select("_id").distinct())
     n = nodes.count()
@@ -97,7 +128,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         return nodes.withColumn("rank", F.lit(0.0))
     inside = edges.select("_src", "_dst").join(nodes.select(F.col("_id").alias("_src")), "_src", "left_semi").join(nodes.select(F.col("_id").alias("_dst")), "_dst", "left_semi")
     degree = inside.groupBy("_src").agg(F.count(F.lit(1)).alias("out"))
-    links = checkpoint(inside.join(degree, "_src"))
+    # repartitioned once by source and kept in executor memory or on their disks (recomputed if lost), so a round shuffles ranks only
+    links = checkpoint(inside.join(degree, "_src")).repartition("_src").persist(StorageLevel.MEMORY_AND_DISK)
     ranks = nodes.join(degree.withColumnRenamed("_src", "_id"), "_id", "left").select("_id", "out", F.lit(1.0 / n).alias("rank"))
     ranks = checkpoint(ranks)
     base = ranks.select("_id", "out")
@@ -107,6 +139,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         ranks = base.join(gain, "_id", "left").crossJoin(F.broadcast(lost)).select("_id", "out", ((1 - damping) / n + damping * (F.coalesce("gain", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         if i % cut_every == cut_every - 1:
             ranks = checkpoint(ranks)
+    ranks = checkpoint(ranks)
+    links.unpersist()
     return ranks.select("_id", "rank")
 
 

@@ -238,7 +238,17 @@ class Compiler:
                     return c(n)
                 if name in ("RELATIONSHIPS", "RELS"):
                     return F.when(c(n).isNotNull(), F.zip_with(F.slice(c(n), F.lit(1), F.size(c(n)) - 1), F.slice(c(n), F.lit(2), F.size(c(n)) - 1), lambda a, b: F.struct(a.alias("_src"), b.alias("_dst"))))
+        if name == "STRUCT_PACK" and len(args) == 2 and all(a[0] == "list" for a in args) and all(k[0] == "lit" for k in args[0][1]):
+            if len(args[0][1]) != len(args[1][1]):
+                raise QueryError("STRUCT_PACK takes as many values as keys")
+            return F.struct(*[self.expr(v).alias(str(k[1])) for k, v in zip(args[0][1], args[1][1], strict=True)])
         cols = [self.expr(a) for a in args]
+        if name == "STRUCT_EXTRACT" and len(args) == 2 and args[1][0] == "lit":
+            kind = self.kind(cols[0])
+            if isinstance(kind, T.StructType):  # a field that is not there gives NULL
+                return cols[0].getField(args[1][1]) if args[1][1] in kind.names else F.lit(None).cast("string")
+        if name in R.SCALARS and name not in R.TYPED and name not in R.USER:
+            return R.scalar(name, cols, [None] * len(cols))
         return R.scalar(name, cols, [self.kind(x) for x in cols])
 
     # ------------------------------------------------- subqueries, by joining
@@ -444,9 +454,9 @@ class Compiler:
             else:
                 side = self.filtered(self.scan(n), n.var, n.props)
             sides.append(side)
-        pairs = sides[0].select(c(f"{a.var}:_id").alias("s")).crossJoin(sides[1].select(c(f"{b.var}:_id").alias("t"))).distinct()
+        starts, ends = sides[0].select(c(f"{a.var}:_id").alias("s")).distinct(), sides[1].select(c(f"{b.var}:_id").alias("t")).distinct()
         least, most = r.hops or (1, 1)
-        got = G.shortest_paths(pairs.select("s").distinct(), pairs, self.edges(r), least, most, path.shortest == "all")
+        got = G.paths_to_any(starts, ends, self.edges(r), least, most, path.shortest == "all")
         name = path.var or r.var
         self.vars[name] = Var("path")
         got = got.select(F.col("s").alias(f"{a.var}:_id"), F.col("t").alias(f"{b.var}:_id"), F.col("path").alias(name))
@@ -518,12 +528,28 @@ class Compiler:
             right, cond, _ = self._pair(inner, shared, where, mark)
             self.df = self.frame().join(right, cond, "left_anti" if anti else "left_semi")
             return
+        self.by_index(e)
         before = self.df.columns if self.df is not None else []
         cond = self.expr(e).cast("boolean")
         self.df = self.frame().where(cond)
         if before and self.df.columns != before:
             self.df = self.df.select(*map(c, before))
 
+    def by_index(self, e: tuple) -> None:
+        """CONTAINS of a literal on an indexed column reads the index's candidates only; the condition still verifies them."""
+        if e[0] != "call" or e[1] != "CONTAINS" or len(e[2]) != 2:
+            return
+        (kind, *where), (lit, *value) = e[2]
+        if kind != "prop" or where[0][0] != "var" or lit != "lit" or not isinstance(value[0], str) or len(value[0]) < 3:
+            return
+        name, column = where[0][1], where[1]
+        v = self.vars.get(name)
+        t = self.tables.get(v.label) if v is not None and v.kind == "node" and v.label else None
+        index = t.built.get(("trigram", column)) if t is not None else None
+        if index is not None and index.of is t.df:
+            found = index.candidates(value[0]).select(F.col("id").alias("_c"))
+            self.df = self.frame().join(found, c(f"{name}:_id") == F.col("_c"), "left_semi")
+
     # ------------------------------------------------------------ projections
     def title(self, e: tuple) -> str:
         if e[0] == "prop" and e[1][0] == "var":

@@ -26,6 +26,7 @@ class Engine:
     def __init__(self, spark: SparkSession, copy_dir: str | None = None):
         self.spark, self.copy_dir = spark, copy_dir
         self.catalog = Catalog(spark)
+        self.table_functions: dict[str, Callable[..., DataFrame]] = {}
         self.listeners: list[Callable[[str, str, DataFrame], None]] = []
         self._parsed = functools.lru_cache(256)(lambda text: Parser(text).script())
 
@@ -65,10 +66,68 @@ class Engine:
             out = out.union(nxt) if every else out.union(nxt).distinct()
         if q["mode"]:
             text = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
-            rows = [(text,)] if q["mode"] == "explain" else [(text, out.count())]
-            return self.spark.createDataFrame(rows, "plan string" if q["mode"] == "explain" else "plan string, rows long")
+            if q["mode"] == "explain":
+                return self.spark.createDataFrame([(text,)], "plan string")
+            return self._profile(out)
         return out
 
+    def _profile(self, out: DataFrame) -> DataFrame:
+        """(step, operator, metric, value): the query run once, and what its physical operators counted."""
+        out = out.select("*")
+        plan = out._jdf.queryExecution().executedPlan()
+        began = time.perf_counter()
+        out._jdf.queryExecution().toRdd().count()
+        took = int((time.perf_counter() - began) * 1000)
+        rows: list[tuple[int, str, str, int]] = [(0, "Query", "total time in ms", took)]
+        todo = [plan]
+        while todo:
+            node = todo.pop()
+            name = node.nodeName()
+            if name == "AdaptiveSparkPlan":
+                todo.append(node.executedPlan())
+                continue
+            if name in ("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage", "TableCacheQueryStage"):
+                todo.append(node.plan())
+                continue
+            metrics = node.metrics().toSeq()
+            for i in range(metrics.size()):
+                m = metrics.apply(i)._2()
+                label = m.name()
+                if label.isDefined() and m.value() >= 0:
+                    rows.append((len(rows), name, label.get(), int(m.value())))
+            kids = node.children()
+            todo += [kids.apply(i) for i in range(kids.size() - 1, -1, -1)]
+        return self.spark.createDataFrame(rows, "step int, operator string, metric string, value long")
+
+    def search(self, label: str, column: str, node_id, text: str) -> float | None:
+        """The BM25 score of one node's text for a query; None where the node has none of its words."""
+        t = self.catalog.get(label)
+        index = self._index(t, "fulltext", column)
+        got = index.scores(text, t.df.where(F.col("_id") == node_id).select(F.col("_id").alias("_n"))).first()
+        return None if got is None else float(got["score"])
+
+    def _index(self, t: Table, kind: str, column: str):
+        """A built index of the table as it is now, or one made on the fly."""
+        from graphloom.operators import search
+
+        got = t.built.get((kind, column))
+        if got is not None and got.of is t.df:
+            return got
+        return {"fulltext": search.TextIndex, "trigram": search.TrigramIndex, "vector": search.VectorIndex}[kind](t.df, "_id", column)
+
+    def vector_neighbours(self, label: str, column: str, query: list[float], k: int, probes: int = 8) -> DataFrame:
+        return self._index(self.catalog.get(label), "vector", column).search(query, k, probes)
+
+    def full_text(self, label: str, column: str, text: str, k: int) -> DataFrame:
+        return self._index(self.catalog.get(label), "fulltext", column).search(text, k)
+
+    def register_aggregate(self, name: str, f: Callable, returns: str = "double") -> None:
+        registry.register_aggregate(name, f, returns)
+
+    def register_table_function(self, name: str, f: Callable[..., DataFrame]) -> None:
+        """A function of literals that gives a DataFrame, called as CALL name(...) YIELD ..."""
+        self.table_functions[name.lower()] = f
+
     def execute_at(self, text: str, when: float, params: dict | None = None) -> DataFrame:
         """The query on the tables as they were at ``when`` (seconds of the epoch)."""
         if self.catalog.staged is not None:
@@ -90,6 +149,10 @@ class Engine:
             return self.spark.createDataFrame([(t.name,) for t in tables.values() if t.is_rel], "relationshipType string")
         if name == "db_schema":
             return self.spark.createDataFrame([(t.name, p, dict(t.df.dtypes)[p]) for t in tables.values() for p in t.props], "table string, property string, type string")
+        if name.lower() in self.table_functions:
+            return self.table_functions[name.lower()](*args)
+        if name == "nextval":
+            return self.spark.createDataFrame([(self.catalog.next_ids(args[0], 1)[0],)], "value long")
         raise QueryError(f"unknown procedure {name}")
 
     # -- writing
@@ -100,6 +163,11 @@ class Engine:
         for q in self._parsed(text):
             q = copy.deepcopy(q)
             first = q["parts"][0][0]
+            writes = hasattr(self, "_do_" + first.kind) or any(cl.kind in ("create", "merge", "set", "delete") for part in q["parts"] for cl in part)
+            if writes and q["mode"]:
+                raise QueryError("EXPLAIN and PROFILE take reading queries; nothing was written")
+            if writes and len(q["parts"]) > 1:
+                raise QueryError("the parts of a UNION only read")
             if hasattr(self, "_do_" + first.kind):
                 got = getattr(self, "_do_" + first.kind)(**first.data)
                 out = got if got is not None else out
@@ -155,14 +223,25 @@ class Engine:
         ends = [replace(r, src=to if r.src == table else r.src, dst=to if r.dst == table else r.dst) for r in self.catalog.at().values() if r.is_rel and table in (r.src, r.dst)]
         self.catalog.put(replace(t, name=to), *ends, drop=(table,))
 
-    def _do_create_index(self, name: str, table: str, column: str) -> None:
+    def _do_create_index(self, name: str, table: str, column: str, kind: str = "key") -> None:
+        """Builds the index and writes it; a table that changes afterwards is read without it until it is built again."""
+        from graphloom.operators import search
+
         t = self.catalog.get(table)
-        self.catalog.put(replace(t, indexes=t.indexes | {name: column}))
+        if column not in t.props:
+            raise CatalogError(f"{table} has no column {column}")
+        if kind == "key":  # files sorted by the column, so its minima and maxima skip them
+            df = written(t.df.repartitionByRange(c(column)).sortWithinPartitions(c(column)), f"sorted-{table}")
+            self.catalog.put(replace(t, df=df, indexes=t.indexes | {name: column}, built={}))
+            return
+        index = {"fulltext": search.TextIndex, "trigram": search.TrigramIndex, "vector": search.VectorIndex}[kind](t.df, "_id", column).saved()
+        self.catalog.put(replace(t, indexes=t.indexes | {name: column}, built=t.built | {(kind, column): index}))
 
     def _do_drop_index(self, name: str) -> None:
         for t in self.catalog.at().values():
             if name in t.indexes:
-                self.catalog.put(replace(t, indexes={k: v for k, v in t.indexes.items() if k != name}))
+                column = t.indexes[name]
+                self.catalog.put(replace(t, indexes={k: v for k, v in t.indexes.items() if k != name}, built={k: v for k, v in t.built.items() if k[1] != column}))
 
     def _do_create_constraint(self, name: str, table: str, column: str) -> None:
         t = self.catalog.get(table)
@@ -220,8 +299,13 @@ class Engine:
         else:  # numbered after what is there; written, so the numbers stay
             start = (t.df.agg(F.max(last)).first()[0] or 0) + 1
             rows = written(rows.withColumn(last, F.monotonically_increasing_id() + start), "insert")
+        keys = [*([t.key] if t.key else []), *t.unique.values()]
+        self._unique(rows, keys, table)
+        for col in keys:  # only the new keys are looked up in the table
+            twice = t.df.join(F.broadcast(rows.select(c(col)).distinct()) if rows.count() <= 100_000 else rows.select(c(col)).distinct(), col, "left_semi").select(c(col)).limit(1).collect()
+            if twice:
+                raise CatalogError(f"{table}.{col} holds {twice[0][0]!r} twice")
         new = t.df.unionByName(rows.select(*t.df.columns))
-        self._unique(new, [*([t.key] if t.key else []), *t.unique.values()], table)
         self.catalog.alter(table, new)
         self._tell(table, "INSERT", rows)
         return rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,26 +18,47 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def engine(spark: SparkSession, d: str) -> Engine:
-    """Nodes Region, Nation, Customer, Supplier, Part, Orders, Document, Event and Entity with their relationships."""
-    t = lambda n: table(spark, d, n)
+#: Node tables: label, table, key; relationship tables: name, table, ends, their columns, properties, edge id.
+NODES = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Orders": ("orders", "o_orderkey"), "Document": ("documents", "doc_id"), "Event": ("events", "event_id")}
+RELS: dict[str, tuple] = {
+    "IN_REGION": ("nation", "Nation", "Region", "n_nationkey", "n_regionkey", [], "n_nationkey"),
+    "CUSTOMER_OF": ("customer", "Customer", "Nation", "c_custkey", "c_nationkey", [], "c_custkey"),
+    "SUPPLIER_OF": ("supplier", "Supplier", "Nation", "s_suppkey", "s_nationkey", [], "s_suppkey"),
+    "PLACED": ("orders", "Customer", "Orders", "o_custkey", "o_orderkey", ["o_orderdate"], "o_orderkey"),
+    "CONTAINS_PART": ("lineitem", "Orders", "Part", "l_orderkey", "l_partkey", None, lambda: F.col("l_orderkey") * 1000 + F.col("l_linenumber")),
+    "SUPPLIED_BY": ("lineitem", "Part", "Supplier", "l_partkey", "l_suppkey", [], None),
+    "NEXT": ("nation", "Nation", "Nation", "n_nationkey", "to", [], lambda: F.col("n_nationkey") * 100 + F.col("to")),
+    "LINKED": ("link_detail", "Entity", "Entity", "_src", "_dst", [], None),
+}
+
+
+def engine(spark: SparkSession, d: str, text: str | None = None) -> Engine:
+    """The graph of the driver's tables; with ``text`` only the labels it names (and their ends) are opened."""
     e = Engine(spark)
-    for name, source, key in (("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("Orders", "orders", "o_orderkey"), ("Document", "documents", "doc_id"), ("Event", "events", "event_id")):
-        e.register_node(name, t(source), key)
-    e.register_rel("IN_REGION", t("nation"), "Nation", "Region", "n_nationkey", "n_regionkey", [], "n_nationkey")
-    e.register_rel("CUSTOMER_OF", t("customer"), "Customer", "Nation", "c_custkey", "c_nationkey", [], "c_custkey")
-    e.register_rel("SUPPLIER_OF", t("supplier"), "Supplier", "Nation", "s_suppkey", "s_nationkey", [], "s_suppkey")
-    e.register_rel("PLACED", t("orders"), "Customer", "Orders", "o_custkey", "o_orderkey", ["o_orderdate"], "o_orderkey")
-    items = t("lineitem")
-    e.register_rel("CONTAINS_PART", items, "Orders", "Part", "l_orderkey", "l_partkey", items.columns, F.col("l_orderkey") * 1000 + F.col("l_linenumber"))
-    e.register_rel("SUPPLIED_BY", items.select("l_partkey", "l_suppkey").distinct(), "Part", "Supplier", "l_partkey", "l_suppkey", [])
-    e.register_rel("NEXT", t("nation").withColumn("to", F.pmod(F.col("n_nationkey") * 3 + 1, F.lit(25)).cast("int")).unionByName(t("nation").withColumn("to", F.pmod(F.col("n_nationkey") + 7, F.lit(25)).cast("int"))), "Nation", "Nation", "n_nationkey", "to", [], F.col("n_nationkey") * 100 + F.col("to"))
+    named = None if text is None else set(re.findall(r"\w+", text))
+    rels = [r for r in RELS if named is None or r in named]
+    ends = {x for r in rels for x in RELS[r][1:3]}
+    for name, (source, key) in NODES.items():
+        if named is None or name in named or name in ends:
+            e.register_node(name, table(spark, d, source), key)
+    if (named is not None and "Entity" in named) or "Entity" in ends:
+        e.register_node("Entity", table(spark, d, "entity").select(F.trim("id").alias("id")).where("id <> ''").distinct(), "id")
+    for name in rels:
+        source, src, dst, a, b, props, eid = RELS[name]
+        df = table(spark, d, source)
+        if name == "NEXT":
+            df = df.withColumn("to", F.pmod(F.col(a) * 3 + 1, F.lit(25)).cast("int")).unionByName(df.withColumn("to", F.pmod(F.col(a) + 7, F.lit(25)).cast("int")))
+        elif name == "SUPPLIED_BY":
+            df = df.select(a, b).distinct()
+        elif name == "LINKED":
+            df = links(spark, d)
+        e.register_rel(name, df, src, dst, a, b, df.columns if props is None else props, eid() if callable(eid) else eid)
     return e
 
 
 def add(name: str, text: str, sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return engine(spark, d).cypher(text)
+        return engine(spark, d, text).cypher(text)
 
     run.__name__ = name
     QUERIES[name], ORACLES[name] = run, sql
@@ -56,7 +78,7 @@ FLAGSHIP = "MATCH (c:Customer)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 1000
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return engine(spark, d).cypher(FLAGSHIP)
+    return engine(spark, d, FLAGSHIP).cypher(FLAGSHIP)
 
 
 add("flagship_segments", FLAGSHIP, "SELECT c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice)) AS total FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY total DESC LIMIT 5")
@@ -75,11 +97,10 @@ add("subscripts", "UNWIND [[1, 2, 3, 4], [5, 6]] AS l RETURN l[0] AS a, l[-1] AS
 add("two_hops", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:CUSTOMER_OF]-(c:Customer) RETURN r.r_name AS region, count(*) AS n, ROUND(avg(c.c_acctbal)) AS bal", "SELECT r_name AS region, count(*) AS n, round(avg(c_acctbal)) AS bal FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 add("four_hops", "MATCH (c:Customer)-[:PLACED]->(o:Orders)-[l:CONTAINS_PART]->(p:Part) WHERE l.l_quantity > 45 AND p.p_size < 5 RETURN c.c_mktsegment AS seg, p.p_brand AS brand, count(*) AS n, ROUND(sum(l.l_extendedprice)) AS total", "SELECT c_mktsegment AS seg, p_brand AS brand, count(*) AS n, round(sum(l_extendedprice)) AS total FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45 AND p_size < 5 GROUP BY 1, 2")
 add("either_direction", "MATCH (a:Nation)-[r:NEXT]-(b:Nation) RETURN a.n_nationkey AS a, count(*) AS n", "WITH e AS (SELECT n_nationkey AS s, (n_nationkey * 3 + 1) % 25 AS d FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation), b AS (SELECT s, d FROM e UNION ALL SELECT d, s FROM e WHERE s <> d) SELECT s AS a, count(*) AS n FROM b GROUP BY s")
-add("unique_rels", "MATCH (a:Part)<-[x:CONTAINS_PART]-(o:Orders)-[y:CONTAINS_PART]->(b:Part) WHERE o.o_orderkey < 400 RETURN o.o_orderkey AS k, count(*) AS n", "SELECT x.l_orderkey AS k, count(*) AS n FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND (x.l_linenumber <> y.l_linenumber) WHERE x.l_orderkey < 400 AND x.l_orderkey IN (SELECT o_orderkey FROM orders) AND x.l_partkey IN (SELECT p_partkey FROM part) AND y.l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1")
 add("unique_rels_all", "MATCH (a:Part)<-[x:CONTAINS_PART]-(o:Orders)-[y:CONTAINS_PART]->(b:Part) RETURN o.o_orderkey AS k, count(*) AS n", "SELECT x.l_orderkey AS k, count(*) AS n FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND (x.l_linenumber <> y.l_linenumber) WHERE x.l_orderkey IN (SELECT o_orderkey FROM orders) AND x.l_partkey IN (SELECT p_partkey FROM part) AND y.l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1")
 add("optional_match", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 200000 RETURN c.c_custkey AS k, count(o.o_orderkey) AS n", "SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY 1")
 add("exists_semi", "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_orderstatus = 'F' AND o.o_totalprice > c.c_acctbal } RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > c_acctbal)")
-add("exists_anti", "MATCH (c:Customer) WHERE NOT EXISTS { MATCH (c)-[:PLACED]->(o:Orders) } RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+add("exists_anti", "MATCH (c:Customer) WHERE NOT EXISTS { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 200000 } RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 add("count_subquery", "MATCH (n:Nation) RETURN n.n_nationkey AS k, COUNT { MATCH (n)<-[:CUSTOMER_OF]-(c:Customer) WHERE c.c_acctbal > 5000 } AS n", "SELECT n_nationkey AS k, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 5000) AS n FROM nation")
 add("second_match", "MATCH (n:Nation) MATCH (n)<-[:SUPPLIER_OF]-(s:Supplier) RETURN n.n_name AS nation, max(s.s_acctbal) AS best", "SELECT n_name AS nation, max(s_acctbal) AS best FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 add("comma_cross", "MATCH (a:Region), (b:Region) WHERE a.r_regionkey < b.r_regionkey RETURN a.r_name AS a, b.r_name AS b", "SELECT a.r_name AS a, b.r_name AS b FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
@@ -99,7 +120,7 @@ add("union_distinct", "MATCH (c:Customer) RETURN c.c_nationkey AS k UNION MATCH
 add("union_all", "MATCH (c:Customer) RETURN c.c_nationkey AS k UNION ALL MATCH (s:Supplier) RETURN s.s_nationkey AS k", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 # functions
 add("string_functions", "MATCH (p:Part) RETURN p.p_partkey AS k, UPPER(p.p_name) AS u, LOWER(p.p_type) AS l, REVERSE(p.p_brand) AS r, LENGTH(p.p_name) AS n, CONCAT(p.p_brand, '-', NULL, p.p_size) AS c, SUBSTRING(p.p_name, 2, 4) AS s, REPLACE(p.p_name, 'a', 'b') AS rp, LEFT(p.p_name, 3) AS lf, RIGHT(p.p_name, 3) AS rt, REPEAT(p.p_brand, 2) AS rep, SPLIT_PART(p.p_name, ' ', 1) AS sp, LPAD(p.p_brand, 12, '*') AS lp, RPAD(p.p_brand, 12, '*') AS rpd, CONCAT_WS('/', p.p_brand, p.p_type) AS cw, TRIM('  x ') AS t, LEVENSHTEIN(p.p_brand, 'Brand#12') AS lev, REGEXP_MATCH(p.p_name, '[0-9]+') AS rm, REGEXP_REPLACE(p.p_brand, '[0-9]', '') AS rr, REGEXP_EXTRACT(p.p_brand, '[0-9]+') AS re, MD5(p.p_name) AS md, SHA256(p.p_name) AS sh, TO_HEX(p.p_size) AS hx, FROM_HEX('ff') AS fh", "SELECT p_partkey AS k, upper(p_name) AS u, lower(p_type) AS l, reverse(p_brand) AS r, strlen(p_name) AS n, concat(p_brand, '-', NULL, p_size) AS c, substring(p_name, 3, 4) AS s, replace(p_name, 'a', 'b') AS rp, left(p_name, 3) AS lf, right(p_name, 3) AS rt, repeat(p_brand, 2) AS rep, split_part(p_name, ' ', 1) AS sp, lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '*') AS rpd, concat_ws('/', p_brand, p_type) AS cw, 'x' AS t, levenshtein(p_brand, 'Brand#12') AS lev, regexp_matches(p_name, '[0-9]+') AS rm, regexp_replace(p_brand, '[0-9]', '', 'g') AS rr, regexp_extract(p_brand, '[0-9]+') AS re, md5(p_name) AS md, sha256(p_name) AS sh, lower(printf('%x', p_size)) AS hx, 255::BIGINT AS fh FROM part")
-add("math_functions", "MATCH (p:Part) RETURN p.p_partkey AS k, ABS(p.p_size - 25) AS a, CEIL(p.p_retailprice) AS c, FLOOR(p.p_retailprice) AS f, ROUND(p.p_retailprice) AS r, ROUND(SQRT(p.p_size) * 1000) AS sq, ROUND(LN(p.p_size) * 1000) AS ln, ROUND(LOG(p.p_size) * 1000) AS lg, ROUND(LOG2(p.p_size) * 1000) AS l2, ROUND(SIN(p.p_size) * 1000) AS sn, ROUND(ATAN2(p.p_size, 3) * 1000) AS at, POW(p.p_size, 2) AS pw, MOD(p.p_size, 7) AS md, SIGN(p.p_size - 25) AS sg, BIT_AND(p.p_size, 12) AS ba, BIT_OR(p.p_size, 3) AS bo, BIT_XOR(p.p_size, 5) AS bx, BIT_SHIFT_LEFT(p.p_size, 2) AS bl, BIT_COUNT(p.p_size) AS bc", "SELECT p_partkey AS k, abs(p_size - 25) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, round(p_retailprice) AS r, round(sqrt(p_size) * 1000) AS sq, round(ln(p_size) * 1000) AS ln, round(log10(p_size) * 1000) AS lg, round(log2(p_size) * 1000) AS l2, round(sin(p_size) * 1000) AS sn, round(atan2(p_size, 3) * 1000) AS at, pow(p_size, 2) AS pw, (p_size % 7)::DOUBLE AS md, sign(p_size - 25)::DOUBLE AS sg, (p_size & 12)::BIGINT AS ba, (p_size | 3)::BIGINT AS bo, xor(p_size, 5)::BIGINT AS bx, (p_size << 2)::BIGINT AS bl, bit_count(p_size)::BIGINT AS bc FROM part")
+add("math_functions", "MATCH (p:Part) RETURN p.p_partkey AS k, ABS(p.p_size - 25) AS a, CEIL(p.p_retailprice) AS c, FLOOR(p.p_retailprice) AS f, ROUND(p.p_retailprice) AS r, ROUND(SQRT(p.p_size) * 1000) AS sq, ROUND(LN(p.p_size) * 1000) AS ln, ROUND(LOG(p.p_size) * 1000) AS lg, ROUND(LOG2(p.p_size) * 1000) AS l2, ROUND(SIN(p.p_size) * 1000) AS sn, ROUND(ATAN2(p.p_size, 3) * 1000) AS at, POW(p.p_size, 2) AS pw, MOD(p.p_size, 7) AS md, SIGN(p.p_size - 25) AS sg, BIT_AND(p.p_size, 12) AS ba, BIT_OR(p.p_size, 3) AS bo, BIT_XOR(p.p_size, 5) AS bx, BIT_SHIFT_LEFT(p.p_size, 2) AS bl, BIT_COUNT(p.p_size) AS bc", "SELECT p_partkey AS k, abs(p_size - 25) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, round(p_retailprice) AS r, round(sqrt(p_size) * 1000) AS sq, round(ln(p_size) * 1000) AS ln, round(log10(p_size) * 1000) AS lg, round(log2(p_size) * 1000) AS l2, round(sin(p_size) * 1000) AS sn, round(atan2(p_size, 3) * 1000) AS at, pow(p_size, 2) AS pw, (p_size % 7)::DOUBLE AS md, CASE WHEN p_size < 25 THEN -1 ELSE 1 END::DOUBLE AS sg, (p_size & 12)::BIGINT AS ba, (p_size | 3)::BIGINT AS bo, xor(p_size, 5)::BIGINT AS bx, (p_size << 2)::BIGINT AS bl, bit_count(p_size)::BIGINT AS bc FROM part")
 add("null_functions", "MATCH (d:Document) RETURN d.doc_id AS k, COALESCE(d.lang, 'none') AS c, IFNULL(d.source, '?') AS i, NULLIF(d.lang, 'en') AS n, IF(d.n_chars > 500, 'long', 'short') AS f, TO_INT('12x') IS NULL AS t, TO_FLOAT('1.5') AS fl, TO_BOOL('true') AS b, d.text IS NULL AS z", "SELECT doc_id AS k, coalesce(lang, 'none') AS c, coalesce(source, '?') AS i, nullif(lang, 'en') AS n, CASE WHEN n_chars > 500 THEN 'long' ELSE 'short' END AS f, TRUE AS t, 1.5::DOUBLE AS fl, TRUE AS b, text IS NULL AS z FROM documents")
 add("date_functions", "MATCH (o:Orders) RETURN o.o_orderkey AS k, YEAR(o.o_orderdate) AS y, MONTH(o.o_orderdate) AS m, DAY(o.o_orderdate) AS d, DATE_ADD(o.o_orderdate, 1, 'MONTH') AS da, DATE_SUB(o.o_orderdate, 2, 'WEEK') AS ds, DATE_TRUNC('month', o.o_orderdate) AS dt, DATE_DIFF('day', DATE('1995-01-01'), o.o_orderdate) AS df, MONTHNAME(o.o_orderdate) AS mn, DAYNAME(o.o_orderdate) AS dn, LEAP_YEAR(o.o_orderdate) AS ly, EPOCH(o.o_orderdate) AS ep, DATE('1995-13-01') IS NULL AS bad", "SELECT o_orderkey AS k, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE AS da, (o_orderdate::DATE - INTERVAL 14 DAY)::DATE AS ds, date_trunc('month', o_orderdate)::DATE AS dt, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS df, monthname(o_orderdate) AS mn, dayname(o_orderdate) AS dn, (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 AS ly, epoch(o_orderdate)::BIGINT AS ep, TRUE AS bad FROM orders")
 add("list_functions", "MATCH (n:Nation) WITH n.n_nationkey AS k, RANGE(1, 4) AS l RETURN k, LIST_CONTAINS(l, k) AS c, LIST_EXTRACT(l, -1) AS e, SIZE(LIST_SLICE(l, 2, 3)) AS s, LIST_POSITION(l, 9) IS NULL AS p, LIST_SUM(LIST_APPEND(l, k)) AS a, LIST_AVG(l) AS av, LIST_MAX(LIST_REPLACE(l, 4, 40)) AS mx, SIZE(LIST_REMOVE(l, 2)) AS r, LIST_EXTRACT(LIST_INSERT(l, 2, 9), 1) AS i, SIZE(RANGE(5, 1)) AS empty, SIZE(RANGE(5, 1, -2)) AS down, LIST_MIN(LIST_DISTINCT([3, 3, 2])) AS d", "SELECT n_nationkey AS k, n_nationkey BETWEEN 1 AND 4 AS c, 4::BIGINT AS e, 2::BIGINT AS s, TRUE AS p, (10 + n_nationkey)::DOUBLE AS a, 2.5::DOUBLE AS av, 40::DOUBLE AS mx, 3::BIGINT AS r, 9::BIGINT AS i, 0::BIGINT AS empty, 3::BIGINT AS down, 2::DOUBLE AS d FROM nation")
@@ -113,7 +134,7 @@ add("all_shortest_paths", "MATCH p = allShortestPaths((a:Nation {n_nationkey: 0}
 
 @query("WITH x AS (SELECT a.s, b.d FROM (SELECT n_nationkey AS s, (n_nationkey * 3 + 1) % 25 AS d FROM nation UNION SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation) a JOIN (SELECT n_nationkey AS d FROM nation) b ON a.d = b.d WHERE a.s <> a.d), u AS (SELECT DISTINCT least(s, d) AS x, greatest(s, d) AS y FROM x) SELECT p.x AS a, p.y AS b, q.y AS c FROM u p JOIN u q ON p.y = q.x JOIN u r ON r.x = p.x AND r.y = q.y")
 def triangles(spark: SparkSession, d: str) -> DataFrame:
-    return graph.triangles(engine(spark, d).catalog.get("NEXT").df)
+    return graph.triangles(engine(spark, d, "NEXT").catalog.get("NEXT").df)
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -125,14 +146,14 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query(_pagerank_sql(6))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    e = engine(spark, d).catalog
+    e = engine(spark, d, "NEXT").catalog
     return graph.pagerank(e.get("Nation").df, e.get("NEXT").df, 0.85, 6).select(F.col("_id").alias("id"), F.round(F.col("rank") * 1e6).alias("rank"))
 
 
 @query(f"{_NEXT.replace('w AS (', 'f AS (SELECT s, d FROM e UNION SELECT d, s FROM e), w AS (').replace('JOIN e ON e.s = w.v WHERE w.d < 12', 'JOIN f e ON e.s = w.v WHERE w.d < 2')} SELECT v AS id, d AS hops FROM dist WHERE s = 5 AND v <> 5")
 def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     start = spark.createDataFrame([(5,)], "s int")
-    return graph.neighbourhood(start, engine(spark, d).catalog.get("NEXT").df, 2).select(F.col("v").alias("id"), F.col("d").alias("hops"))
+    return graph.neighbourhood(start, engine(spark, d, "NEXT").catalog.get("NEXT").df, 2).select(F.col("v").alias("id"), F.col("d").alias("hops"))
 
 
 # traversals of a growing, skewed edge table
@@ -222,3 +243,6 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return changes.sessions(table(spark, d, "events"))
+
+
+from graphloom import queries_more  # noqa: E402, F401  (adds to QUERIES and ORACLES)

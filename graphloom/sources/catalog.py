@@ -23,6 +23,7 @@ class Table:
     dst: str | None = None
     unique: dict[str, str] = field(default_factory=dict)
     indexes: dict[str, str] = field(default_factory=dict)
+    built: dict[tuple[str, str], object] = field(default_factory=dict)  # (kind, column): an index and the rows it is of
 
     @property
     def is_rel(self) -> bool:

@@ -31,14 +31,20 @@ class ChangeLog:
         return reader.schema(SCHEMA).parquet(self.path)
 
 
+def _watched(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which needs a timestamp with a zone; a batch as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums of events by window and type; works on batches and, with the watermark, on streams."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    kept = events.withWatermark("ts", late) if events.isStreaming else events
-    return kept.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    kind = dict(events.dtypes)["ts"]
+    kept = _watched(events, late)
+    return kept.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast(kind).alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user, ended by a gap."""
-    kept = events.withWatermark("ts", late) if events.isStreaming else events
+    kept = _watched(events, late)
     return kept.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

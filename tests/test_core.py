@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import random
 
 import pytest
 from hypothesis import given
@@ -213,6 +214,99 @@ def test_memory(spark):
     assert m.central(1).count() == 1
 
 
+def test_struct_and_limits(spark):
+    e = Engine(spark)
+    assert rows(e, "WITH STRUCT_PACK(['a', 'b'], [1, 'x']) AS s RETURN STRUCT_EXTRACT(s, 'a') AS a, STRUCT_EXTRACT(s, 'z') AS z, s.b AS b") == [(1, None, "x")]
+    assert rows(e, "RETURN CONCAT_WS('-', 'p\u0001q', 'b') AS x, SIGN(0) AS z, SIGN(-2) AS m") == [("p\u0001q-b", 1.0, -1.0)]
+    with pytest.raises(Exception, match="too many"):
+        rows(e, "RETURN SIZE(RANGE(1, 20000000)) AS n")
+
+
+def test_explain_and_profile_write_nothing(spark):
+    e = build(spark, [(1, 2)])
+    for text in ("EXPLAIN CREATE (a:N {id: 9})", "EXPLAIN DROP TABLE E", "PROFILE MATCH (a:N) SET a.name = 'x'"):
+        with pytest.raises(QueryError):
+            rows(e, text)
+    assert rows(e, "MATCH (a:N) RETURN count(*)") == [(2,)] and "E" in e.catalog.at()
+    got = rows(e, "PROFILE MATCH (a:N) RETURN a.id")
+    assert got[0][1:3] == ("Query", "total time in ms") and any("rows" in m for _, _, m, _ in got)
+
+
+def test_copy_guard(tmp_path):
+    os.symlink("/etc", tmp_path / "out")
+    for bad in ("file:/etc/passwd", "file:///etc/passwd", "s3a://b/x", "HDFS://x", "out/passwd", "../x", "a/../../x", "/etc/passwd"):
+        for base in (None, str(tmp_path)):
+            if base is None and bad == "out/passwd":
+                continue
+            with pytest.raises(ValueError):
+                copying.checked(bad, base)
+    assert copying.checked("s3a://b/x", None, ("s3a",)) == "s3a://b/x"
+    assert copying.checked("sub/x.csv", str(tmp_path)) == str(tmp_path.resolve() / "sub" / "x.csv")
+
+
+def test_indexes(spark):
+    e = Engine(spark)
+    r = random.Random(1)
+    texts = [" ".join(r.choice(["red fox", "old map", "tea", "graph store"]) for _ in range(4)) for _ in range(60)] + [None, ""]
+    vecs = [[r.gauss(0, 1) for _ in range(8)] for _ in range(62)]
+    e.register_node("Doc", spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(zip(texts, vecs, strict=True))], "id long, text string, v array<double>"), "id")
+    plain = sorted(rows(e, "MATCH (d:Doc) WHERE d.text CONTAINS 'fox old' RETURN d.id"))
+    scan = e.full_text("Doc", "text", "red map", 9).collect()
+    e.execute("CREATE TRIGRAM INDEX t FOR (d:Doc) ON (d.text); CREATE FULLTEXT INDEX f FOR (d:Doc) ON (d.text); CREATE VECTOR INDEX v FOR (d:Doc) ON (d.v)")
+    df = e.cypher("MATCH (d:Doc) WHERE d.text CONTAINS 'fox old' RETURN d.id")
+    assert plain and sorted(map(tuple, df.collect())) == plain
+    assert "bucket" in df._jdf.queryExecution().toString()  # the index is read
+    assert [(x["id"], round(x["score"], 9)) for x in e.full_text("Doc", "text", "red map", 9).collect()] == [(x["id"], round(x["score"], 9)) for x in scan]
+    near = [x["id"] for x in e.vector_neighbours("Doc", "v", vecs[3], 5, 1000).collect()]
+    assert near == [x["_id"] for x in search.vector_search(e.catalog.get("Doc").df, "v", vecs[3], 5).collect()] and near[0] == 3
+    assert e.search("Doc", "text", scan[0]["id"], "red map") == pytest.approx(scan[0]["score"]) and e.search("Doc", "text", 60, "red map") is None
+    e.execute("CREATE (d:Doc {id: 100, text: 'a fox old'})")  # the index is not of this table any more
+    assert sorted(rows(e, "MATCH (d:Doc) WHERE d.text CONTAINS 'fox old' RETURN d.id")) == sorted([*plain, (100,)])
+
+
+def test_vector_index_recall(spark):
+    import numpy as np
+
+    g = np.random.default_rng(4)
+    v = (g.standard_normal((40, 16))[g.integers(0, 40, 3000)] + 0.4 * g.standard_normal((3000, 16))).tolist()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id long, v array<double>")
+    index = search.VectorIndex(df, "id", "v").saved()
+    assert index.rows.count() == 3000
+    hit = 0
+    for q in range(0, 3000, 300):
+        want = {r["id"] for r in search.vector_search(df, "v", v[q], 10, id_col="id").collect()}
+        hit += len(want & {r["id"] for r in index.search(v[q], 10).collect()})
+    assert hit >= 90
+    empty = search.VectorIndex(df.where("false"), "id", "v")
+    assert empty.search([0.0], 3).count() == 0
+
+
+def test_contradictions(spark):
+    v = [("a", [1.0, 0.0, 0.1]), ("b", [1.0, 0.05, 0.1]), ("c", [0.0, 1.0, 0.0]), ("d", [1.0, 0.01, 0.12])]
+    m = memory.MemoryStore(spark, embeddings=spark.createDataFrame(v, "id string, embedding array<double>"))
+    m.store([{"id": "a", "content": "the door is open today"}, {"id": "b", "content": "every window stays shut"}, {"id": "c", "content": "nothing alike here"}, {"id": "d", "content": "the door is open today"}], now=1)
+    assert {(r["_src"], r["_dst"]) for r in m.contradictions().collect()} == {("a", "b"), ("b", "d")}
+    pairs, top = m.consolidated()
+    assert {r["type"] for r in pairs.collect()} == {"RelatedTo", "Contradicts"} and top.count() == 4
+
+
+def test_inserts_look_up_new_keys_only(spark):
+    e = build(spark, [(1, 2)])
+    for bad in ("CREATE (a:N {id: 1, name: 'again'})", "UNWIND [7, 7] AS x CREATE (a:N {id: x})"):
+        with pytest.raises(CatalogError):
+            rows(e, bad)
+    assert rows(e, "MATCH (a:N) RETURN count(*)") == [(2,)]
+
+
+def test_user_aggregate_and_table_function(spark):
+    e = build(spark, [(1, 2), (2, 3)])
+    e.register_aggregate("WIDTH", lambda s: float(s.max() - s.min()))
+    assert rows(e, "MATCH (a:N) RETURN WIDTH(a.id) AS w") == [(2.0,)]
+    e.register_table_function("upto", lambda n: spark.range(n))
+    assert rows(e, "CALL upto(3) YIELD id AS x RETURN sum(x)") == [(3,)]
+    assert rows(e, "CALL nextval('s') YIELD value AS v RETURN v") == [(0,)] and rows(e, "CALL nextval('s') YIELD value AS v RETURN v") == [(1,)]
+
+
 def test_change_stream(spark, tmp_path):
     e = Engine(spark)
     log = ChangeLog(spark, str(tmp_path / "log"))
