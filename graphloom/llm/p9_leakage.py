@@ -70,10 +70,18 @@ def _blocks(items: DataFrame, item_id: str, text: str, broadcast_chars: int) ->
     if n == 1:
         yield [tuple(r) for r in items.collect()]
         return
-    n *= 2  # blocks by hash are uneven
     block = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
     for b in range(n):
-        yield [tuple(r) for r in block.where(F.col("b") == b).select("i", "t").collect()]
+        # rows arrive by partitions; a block whose hash drew more than its share is given out in parts, so each holds the bound (or one item)
+        part, size = [], 0
+        for r in block.where(F.col("b") == b).select("i", "t").toLocalIterator():
+            if part and size + len(r["t"]) > broadcast_chars:
+                yield part
+                part, size = [], 0
+            part.append(tuple(r))
+            size += len(r["t"])
+        if part:
+            yield part
 
 
 def _scan(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, n: int, broadcast_chars: int, emit, schema: str) -> DataFrame:
@@ -88,7 +96,7 @@ def _scan(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: st
 
         got = docs.select(doc_id, text).mapInArrow(run, schema)
         out = got if out is None else out.unionAll(got)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = NGRAM, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
@@ -108,35 +116,59 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     return _scan(docs, items, doc_id, text, item_id, item_text, n, broadcast_chars, emit, f"doc_id {kinds[0]}, item_id {kinds[1]}").distinct()
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """The place of each word."""
+    low = text.lower()
+    return [m.span() for m in PY_WORD.finditer(low if len(low) == len(text) else text)]
+
+
+def cut_out(text: str, places: list[tuple[int, int]], gone: np.ndarray) -> str:
+    """The text without the words marked, nor what stands between two of them."""
+    parts, at = [], 0
+    for i in np.flatnonzero(gone):
+        if i == 0 or not gone[i - 1]:
+            parts.append(text[at : places[i][0]])
+        at = places[i][1]
+    return "".join(parts) + text[at:]
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = NGRAM, drop_share: float = 0.5, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """(doc_id, text, removed): every text with its leaked spans cut out.
 
     ``removed`` is the number of words cut; a document of which more than
     ``drop_share`` of the words leaked is dropped, and NULL texts stay NULL.
-    The items must fit one block here, since spans of all items are cut together.
+    Every block of items gives the starts of its hits in each text; the starts of
+    all blocks are joined by text before anything is cut, so any number of items
+    is taken.  Equal texts are scanned and cut alike.
     """
     kind = dict(docs.dtypes)[doc_id]
 
-    def emit(b: pa.RecordBatch, grams: NGrams) -> pa.RecordBatch:
-        rows, texts, cut = [], [], []
-        for r, t in enumerate(b.column(1).to_pylist()):
-            spans = [m.span() for m in PY_WORD.finditer(low)] if t and len(low := t.lower()) == len(t) else [m.span() for m in PY_WORD.finditer(t or "")]
-            gone = np.zeros(len(spans), bool)
-            for i, _ in grams.hits([t[a:z].lower() for a, z in spans]) if t else ():
-                gone[i : i + n] = True
-            k = int(gone.sum())
-            if k and k > drop_share * len(spans):
-                continue
-            if k:
-                parts, at = [], 0
-                for i in np.flatnonzero(gone):
-                    if i == 0 or not gone[i - 1]:
-                        parts.append(t[at : spans[i][0]])
-                    at = spans[i][1]
-                t = "".join(parts) + t[at:]
-            rows.append(r), texts.append(t), cut.append(k)
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.string()), pa.array(cut, pa.int32())], names=["doc_id", "text", "removed"])
-
-    if items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0] > broadcast_chars:
-        raise ValueError("too many items for one block; cut with several calls")
-    return _scan(docs, items, doc_id, text, item_id, item_text, n, broadcast_chars, emit, f"doc_id {kind}, text string, removed int")
+    def starts(b: pa.RecordBatch, grams: NGrams) -> pa.RecordBatch:
+        found = [sorted({i for i, _ in grams.hits([t[a:z].lower() for a, z in spans(t)])}) if t else [] for t in b.column(1).to_pylist()]
+        keep = pa.array([bool(f) for f in found], pa.bool_())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["k", "starts"]).filter(keep)
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("k", F.sha2(F.col("text"), 256))
+    hits = _scan(rows, items, "k", "text", item_id, item_text, n, broadcast_chars, starts, "k string, starts array<int>")
+    hits = hits.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                rows, texts, removed = [], [], []
+                for r, (t, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    k = 0
+                    if t and s:
+                        places = spans(t)
+                        gone = np.zeros(len(places), bool)
+                        for i in s:
+                            gone[i : i + n] = True
+                        k = int(gone.sum())
+                        if k > drop_share * len(places):
+                            continue
+                        t = cut_out(t, places, gone)
+                    rows.append(r), texts.append(t), removed.append(k)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["doc_id", "text", "removed"])
+
+    return rows.join(hits, "k", "left").select("doc_id", "text", "starts").mapInArrow(cut, f"doc_id {kind}, text string, removed int")

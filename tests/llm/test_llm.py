@@ -286,13 +286,34 @@ def test_p4_scale_free_and_large_path(spark):
     rows = [(q, f"i{j:03d}", float(r.random() * 10**q), float(r.integers(0, 9)), None if r.random() < 0.2 else float(r.random())) for q in range(3) for j in range(30)]
     df = spark.createDataFrame(rows + rows[:5], "q int, i string, a double, b double, c double")
     small = {(x.q, x.i): (x.weight, x.place) for x in p4.rank_walk(df, "q", "i", ["a", "b", "c"]).collect()}
-    large = {(x.q, x.i): (x.weight, x.place) for x in p4.rank_walk(df, "q", "i", ["a", "b", "c"], small=10, large_steps=120).collect()}
+    large = {(x.q, x.i): (x.weight, x.place) for x in p4.rank_walk(df, "q", "i", ["a", "b", "c"], small=10).collect()}
     assert len(small) == 90 and small.keys() == large.keys()
     assert max(abs(small[k][0] - large[k][0]) for k in small) < 1e-7
+    assert {k: v[1] for k, v in small.items()} == {k: v[1] for k, v in large.items()}
     scaled = {(x.q, x.i): x.place for x in p4.rank_walk(df.withColumn("a", F.col("a") * 1000), "q", "i", ["a", "b", "c"]).collect()}
     assert scaled == {k: v[1] for k, v in small.items()}
 
 
+@pytest.mark.parametrize("jump", ["any", "higher"])
+def test_p4_dense_chain(jump):
+    r = np.random.default_rng(8)
+    group = np.repeat([0, 1, 2], [1, 12, 40])
+    scores = [np.where(r.random(53) < 0.2, np.nan, r.integers(0, 9, 53)).astype(float) for _ in range(3)]
+    got = p4.stationary(group, scores, jump=jump)
+    for g in range(3):
+        at = np.flatnonzero(group == g)
+        n, m = len(at), np.zeros((len(at), len(at)))
+        for s in scores:
+            v = np.where(np.isnan(s[at]), -np.inf, s[at])
+            up = (v[None] > v[:, None]).astype(float)
+            deg = up.sum(axis=1, keepdims=True)
+            m += np.where(deg > 0, up / np.maximum(deg, 1), 1 / n) if jump == "higher" else up / n + np.diag(1 - deg[:, 0] / n)
+        p = np.full(n, 1 / n)
+        for _ in range(400):
+            p = 0.15 / n + 0.85 * p @ (m / 3)
+        assert np.allclose(got[at], p, atol=1e-8)
+
+
 def test_p4_edges(spark):
     df = spark.createDataFrame([(1, "a", None, None), (1, "b", 1.0, 1.0), (2, "x", None, None), (None, "y", 1.0, 1.0), (3, None, 1.0, 1.0)], "q int, i string, s double, t double")
     got = [(r.q, r.i) for r in p4.rank_walk(df, "q", "i", ["s", "t"], 1).collect()]
@@ -369,6 +390,26 @@ def test_p7_flat_is_exact_and_hierarchy(spark):
     n = len({x for _, x in want})
     chosen = f.hierarchy().collect()
     assert 0 < len(chosen) <= n and len({r.id for r in chosen}) == len(chosen)
+    # condensed in bands of short edges, as trees too large for a task are, the hierarchy is the same
+    whole, bands = f.condensed(), f.condensed(bound=40)
+    for a, b in zip(whole, bands, strict=True):
+        key = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+        assert sorted(map(key, a.collect()), key=repr) == sorted(map(key, b.collect()), key=repr)
+
+
+def test_p7_hierarchy_of_two_tight_parts_joined_late(spark):
+    # two groups of eight on a line, joined by one long edge; one more member hangs on the second
+    edges = [(i, i + 1, 0.01) for i in range(7)] + [(i, i + 1, 0.02) for i in range(10, 17)] + [(17, 18, 0.1), (7, 10, 0.3)]
+    nodes, points = p7.condensed(spark.createDataFrame(edges, "a long, b long, w double"), spark.createDataFrame([(i, 1) for i in [*range(8), *range(10, 19), 30]], "vid long, ids long"), least=6)
+    n = {r.node: r for r in nodes.collect()}
+    roots = [r for r in n.values() if r.parent is None]
+    assert len(roots) == 1 and roots[0].n == 17 and roots[0].tree == 0 and not roots[0].taken
+    kids = sorted((r.n, round(r.stability, 6)) for r in n.values() if r.parent == roots[0].node and r.taken)
+    # the sum of 1/distance at which members leave, less that at which the two part
+    assert kids == [(8, round(8 / 0.01 - 8 / 0.3, 6)), (9, round(8 / 0.02 + 1 / 0.1 - 9 / 0.3, 6))]
+    cluster = {r.node: r.cluster for r in p7.selected(nodes).collect()}
+    assert {r.vid: cluster[r.node] for r in points.collect()}.keys() == {*range(8), *range(10, 19)}
+    assert len(set(cluster.values())) == 2
 
 
 def test_p7_empty(spark):
@@ -437,6 +478,8 @@ def test_p9_brute_force_and_blocks(spark):
         assert {tuple(x) for x in p9.leaked(ddf, idf, broadcast_chars=chars).collect()} == want
     clean = p9.without_leaks(ddf, idf, drop_share=1.0)
     assert p9.leaked(clean, idf).count() == 0 and clean.count() == len(docs)
+    in_blocks = p9.without_leaks(ddf, idf, drop_share=1.0, broadcast_chars=400)  # far more items than one block holds
+    assert sorted(map(tuple, in_blocks.collect()), key=repr) == sorted(map(tuple, clean.collect()), key=repr)
 
 
 # -- 10
