@@ -1,18 +1,22 @@
 """Problem 5: near-duplicate records with small edits.
 
-The likeness of texts is that of their sets of words, so the join is a product
-of the record-by-word incidence matrix with its transpose of which only the
-entries above a size-derived bound matter.  The product is never taken whole:
+The likeness of texts is that of their sets of words (or of word n-grams), so the
+join is the product of the record-by-gram incidence matrix with its transpose, of
+which only the entries above a size-derived bound matter.  It is taken in blocks:
 
 * Equal sets are one row of the matrix, whatever the number of their records.
-* The words of a row are in one global order, rare words first.  Two rows of
-  likeness t have few words outside their overlap, so the first k words they
+* The grams of a row are in one global order, rare ones first.  Two rows of
+  likeness t have few grams outside their overlap, so the first k grams they
   share lie among the first n - ceil(t n) + k of each.  A block is the set of
-  rows with the same first shared words; a block of more than ``block`` rows is
-  split by one more shared word, again and again, so no block is ever large,
-  however common a word, and no pair is lost.
-* Within a block a pair is dropped when its sizes, or a 256-bit image of the
-  two rows, prove the overlap too small; for the rest the overlap is counted.
+  rows with the same first shared grams; a block of more than ``block`` rows is
+  split by one more shared gram, again and again, so no block is ever large,
+  however common a gram, and no pair is lost.
+* Blocks are dealt to tasks, many at a time.  A task holds the incidence of its
+  rows once, sorted by row and gram.  An entry of a block's product is started
+  only if its sizes, and a 256-bit image of the two rows, allow the overlap that
+  the bound asks for; its count is then accumulated over the smaller row's grams,
+  ``STRIDE`` at a time, and the entry is discarded as soon as what is left of the
+  row cannot reach the bound any more.
 
 Exact: every pair of likeness >= t is found.  Edge cases: NULL, empty and
 wordless texts have no likeness and no partners; several texts of one id each
@@ -38,19 +42,29 @@ from graphloom.runtime import checkpoint, written
 LIKENESS = 0.7
 #: Rows in a block before it is split by one more shared word.
 BLOCK = 256
+#: Rows of blocks that one task multiplies; entries it holds at a time; grams that are accumulated between two looks at the bound.
+TASK_ROWS, PAIRS, STRIDE = 60_000, 1_000_000, 8
 #: Words that get a place in the global order by frequency; all rarer ones come before, by hash.
 FREQUENT = 50_000
 SETS = "sid long, n int, toks array<long>, b0 long, b1 long, b2 long, b3 long"
 
 
-def frequent_words(texts: DataFrame, text: str, k: int = FREQUENT) -> dict[str, int]:
-    """The ``k`` most frequent words with their place, rarest first: a bounded table."""
-    w = texts.select(F.explode(F.array_distinct(words(F.col(text)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+def grams_of(w: list[str], n: int) -> set[str]:
+    """The distinct n-grams of consecutive words; a text of fewer words is one gram."""
+    return set(w) if n == 1 else {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def frequent_words(texts: DataFrame, text: str, k: int = FREQUENT, gram: int = 1) -> dict[str, int]:
+    """The ``k`` most frequent words or n-grams with their place, rarest first: a bounded table."""
+    w = words(F.col(text))
+    if gram > 1:
+        w = F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - gram + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(gram)), " ")))
+    w = texts.select(F.explode(F.array_distinct(w)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
     top = w.where("c > 1").orderBy(F.desc("c"), "w").limit(k).select("w").collect()
     return {r[0]: len(top) - i for i, r in enumerate(top)}
 
 
-def with_sets(texts: DataFrame, ids: list[str], text: str, order: dict[str, int]) -> DataFrame:
+def with_sets(texts: DataFrame, ids: list[str], text: str, order: dict[str, int], gram: int = 1) -> DataFrame:
     """(ids..., sid, n, toks, b0..b3): each text with words as its set of words in the global order."""
     places = texts.sparkSession.sparkContext.broadcast(order)
     kinds = dict(texts.dtypes)
@@ -62,7 +76,7 @@ def with_sets(texts: DataFrame, ids: list[str], text: str, order: dict[str, int]
                 b = whole.slice(lo, 2000)
                 rows, sids, ns, toks, bits = [], [], [], [], []
                 for r, t in enumerate(b.column(len(ids)).to_pylist()):
-                    w = set(PY_WORD.findall(t.lower())) if t else ()
+                    w = grams_of(PY_WORD.findall(t.lower()), gram) if t else ()
                     if not w:
                         continue
                     a = np.array([h64(x) for x in w], np.uint64)
@@ -126,37 +140,125 @@ def blocks(sets: DataFrame, t: float = LIKENESS, block: int = BLOCK, sides: str
         level += 1
 
 
-def similar_sets(sets: DataFrame, t: float = LIKENESS, block: int = BLOCK) -> DataFrame:
-    """(a, b, likeness), a < b: all pairs of different sets (one row each) of likeness >= ``t``."""
-    met = blocks(sets, t, block)
-    x, y = met.alias("x"), met.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
-    total = F.col("x.n") + F.col("y.n")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (differ <= total - 2 * least_overlap(F.col("x.n"), F.col("y.n"), t))
-    pairs = checkpoint(x.join(y, near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
-    return _verified(pairs, sets, t)
+def accumulated(row: np.ndarray, gram: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """Which entries (a, b) of the product of the incidence (row, gram) reach the bound, and their counts: 0 where not.
+
+    ``row`` is sorted, ``gram`` holds numbers from 0 in each row's order; ``size`` counts the grams of a row.
+    """
+    first = np.concatenate(([0], np.cumsum(size)))
+    width = int(gram.max()) + 1 if len(gram) else 1
+    cells = np.sort(row * width + gram)
+    small, large = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    need = np.ceil(t / (1 + t) * (size[a] + size[b]) - 1e-9).astype(np.int64)
+    count = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    for at in range(0, int(size[small].max()) if len(a) else 0, STRIDE):
+        take = np.minimum(STRIDE, size[small[live]] - at)
+        begin = first[small[live]] + at
+        part = np.repeat(np.cumsum(take) - take, take)
+        grams = gram[np.repeat(begin, take) + np.arange(len(part)) - part]
+        ask = np.repeat(large[live], take) * width + grams
+        at_cell = np.searchsorted(cells, ask)
+        hit = cells[np.minimum(at_cell, len(cells) - 1)] == ask
+        count[live] += np.add.reduceat(hit, np.cumsum(take) - take)
+        left = size[small[live]] - at - take
+        possible = count[live] + left >= need[live]
+        count[live[~possible]] = 0
+        live = live[possible & (left > 0)]
+        if not len(live):
+            break
+    return np.where(count >= need, count, 0)
+
 
+def products(met: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(a, b, likeness), a < b: the entries above the bound of the products of all blocks (key, sid)."""
+    # rows that all reach the bound stay in one block, however many: such a block is taken in tiles of pairs of parts
+    held = met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TASK_ROWS)
+    parts = held.select("key", F.ceil(F.col("c") / (TASK_ROWS // 2)).cast("int").alias("parts"))  # at most rows / TASK_ROWS keys
+    met = met.join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = met.withColumn("i", F.pmod(F.hash("sid"), F.col("parts"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.xxhash64("key", F.least("i", "o"), F.greatest("i", "o"))
+    met = checkpoint(met.select(F.when(F.col("parts") > 1, tile).otherwise(F.col("key")).alias("key"), "sid"))
+    n = met.count()
+    tasks = max(1, -(-n // TASK_ROWS))
+    dealt = met.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int"))
+    rows = dealt.groupBy("task", "sid").agg(F.collect_list("key").alias("keys")).join(sets.select("sid", "n", "toks", "b0", "b1", "b2", "b3"), "sid")
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    side = lambda s: sets.select(F.col("sid").alias(s), F.col("toks").alias(f"t{s}"), F.col("n").alias(f"n{s}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("ta", "tb")))
-    likeness = F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
-    return full.select("a", "b", likeness.alias("likeness")).where(F.col("likeness") >= t - 1e-12)
+    def multiply(block: pa.Table) -> pa.Table:
+        block = block.sort_by("sid").combine_chunks()
+        sid, size = block.column("sid").to_numpy(), block.column("n").to_numpy().astype(np.int64)
+        image = np.stack([block.column(f"b{i}").to_numpy().view(np.uint64) for i in range(4)])
+        toks = block.column("toks").combine_chunks()
+        row = np.repeat(np.arange(len(sid)), size)
+        gram = np.unique(toks.flatten().to_numpy(), return_inverse=True)[1].astype(np.int64)
+        keys = block.column("keys").combine_chunks()
+        key = keys.flatten().to_numpy()
+        holder = np.repeat(np.arange(len(sid)), keys.value_lengths().to_numpy())
+        order = np.lexsort((holder, key))
+        key, holder = key[order], holder[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.append(start, len(key)))
+        out_a, out_b, out_c = [], [], []
+        seen_a: list[np.ndarray] = []
+        seen_b: list[np.ndarray] = []
+
+        def settle() -> None:
+            if not seen_a:
+                return
+            a, b = np.concatenate(seen_a), np.concatenate(seen_b)
+            seen_a.clear(), seen_b.clear()
+            pair = np.unique(a * len(sid) + b)  # blocks of a task may share pairs
+            a, b = pair // len(sid), pair % len(sid)
+            c = accumulated(row, gram, size, a, b, t)
+            ok = c > 0
+            out_a.append(sid[a[ok]]), out_b.append(sid[b[ok]]), out_c.append(c[ok] / (size[a[ok]] + size[b[ok]] - c[ok]))
+
+        held = 0
+        place = np.arange(len(key)) - np.repeat(start, length)  # of a row in its block
+        left = np.repeat(length, length) - 1 - place  # rows behind it
+        at = 0
+        while at < len(key):  # as many rows of blocks as PAIRS pairs allow, with the rows behind them
+            upto = at + max(1, int(np.searchsorted(np.cumsum(left[at:]), PAIRS, side="right")))
+            x = np.repeat(np.arange(at, min(upto, len(key))), left[at:upto])
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left[at:upto]) - left[at:upto], left[at:upto])
+            a, b = holder[x], holder[y]
+            total = size[a] + size[b]
+            need = np.ceil(t / (1 + t) * total - 1e-9).astype(np.int64)
+            possible = (need <= np.minimum(size[a], size[b])) & (a != b)
+            a, b, total, need = a[possible], b[possible], total[possible], need[possible]
+            differ = sum(np.bitwise_count(im[a] ^ im[b]).astype(np.int32) for im in image)
+            ok = differ <= total - 2 * need
+            seen_a.append(np.minimum(a[ok], b[ok])), seen_b.append(np.maximum(a[ok], b[ok]))
+            held += int(ok.sum())
+            if held > PAIRS:
+                settle()
+                held = 0
+            at = upto
+        settle()
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        return pa.table({"a": join(out_a, np.int64), "b": join(out_b, np.int64), "likeness": join(out_c, float)})
+
+    return rows.groupBy("task").applyInArrow(multiply, "a long, b long, likeness double").distinct()
+
+
+def similar_sets(sets: DataFrame, t: float = LIKENESS, block: int = BLOCK) -> DataFrame:
+    """(a, b, likeness), a < b: all pairs of different sets (one row each) of likeness >= ``t``."""
+    return products(checkpoint(blocks(sets, t, block).select("key", "sid")), sets, t)
 
 
-def incidence(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+def incidence(df: DataFrame, id_col: str, text: str, gram: int = 1) -> tuple[DataFrame, DataFrame]:
     """(id, sid) and the distinct sets behind it."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").distinct()
-    order = frequent_words(rows, "text")
-    whole = written(with_sets(rows, ["id"], "text", order), "incidence")
+    order = frequent_words(rows, "text", gram=gram)
+    whole = written(with_sets(rows, ["id"], "text", order, gram), "incidence")
     members = whole.select("id", "sid").distinct()
     sets = checkpoint(whole.drop("id").dropDuplicates(["sid"]))
     return members, sets
 
 
-def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", t: float = LIKENESS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", t: float = LIKENESS, block: int = BLOCK, gram: int = 1) -> DataFrame:
     """(id_a, id_b), id_a < id_b: ids with texts of likeness >= ``t``."""
-    members, sets = incidence(df, id_col, text)
+    members, sets = incidence(df, id_col, text, gram)
     pairs = similar_sets(sets, t, block).select("a", "b")
     ma, mb = members.select(F.col("id").alias("ia"), F.col("sid").alias("a")), members.select(F.col("id").alias("ib"), F.col("sid").alias("b"))
     across = pairs.join(ma, "a").join(mb, "b").where("ia <> ib")
@@ -165,12 +267,12 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", t:
     return across.unionByName(same).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str = "id", text: str = "content", t: float = LIKENESS, block: int = BLOCK) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str = "id", text: str = "content", t: float = LIKENESS, block: int = BLOCK, gram: int = 1) -> DataFrame:
     """(id, group_id, links): every id with a partner, its group's smallest id, and its number of links.
 
     Links are between different sets of words; equal sets are members of one.
     """
-    members, sets = incidence(df, id_col, text)
+    members, sets = incidence(df, id_col, text, gram)
     pairs = checkpoint(similar_sets(sets, t, block).select("a", "b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
     group = components(pairs, "a", "b").select(F.col("id").alias("sid"), F.col("group_id").alias("g"))

@@ -337,6 +337,33 @@ def test_p5_brute_force(spark, block):
     assert all(groups[a] == groups[b] for a, b in want) and set(groups) == {x for p in want for x in p}
 
 
+def test_p5_product_of_one_block():
+    r = np.random.default_rng(12)
+    sets = [np.sort(r.choice(40, r.integers(1, 30), replace=False)) for _ in range(50)]
+    size = np.array(list(map(len, sets)))
+    row, gram = np.repeat(np.arange(50), size), np.concatenate(sets)
+    a, b = np.triu_indices(50, 1)
+    for t in (0.3, 0.7):
+        got = p5.accumulated(row, gram, size, a, b, t)
+        for x, y, c in zip(a, b, got, strict=True):
+            shared = len(np.intersect1d(sets[x], sets[y]))
+            assert c == (shared if shared / (size[x] + size[y] - shared) >= t - 1e-12 else 0)
+
+
+def test_p5_tiles_of_a_large_block(spark, monkeypatch):
+    monkeypatch.setattr(p5, "TASK_ROWS", 8)
+    texts = [f"w{i} a b c d e f g h" for i in range(30)]
+    df = spark.createDataFrame([(f"i{i:02d}", t) for i, t in enumerate(texts)], "id string, content string")
+    assert p5.near_duplicates(df, block=4).count() == 30 * 29 // 2
+
+
+def test_p5_word_pairs(spark):
+    texts = ["a b c d e f g h", "a b c d e f g x", "h g f e d c b a", "one", "one", None, ""]
+    df = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(texts)], "id string, content string")
+    assert {tuple(r) for r in p5.near_duplicates(df, gram=2).collect()} == {("i0", "i1"), ("i3", "i4")}
+    assert {tuple(r) for r in p5.near_duplicates(df).collect()} == {("i0", "i1"), ("i0", "i2"), ("i1", "i2"), ("i3", "i4")}
+
+
 def test_p5_empty(spark):
     assert p5.near_duplicates(spark.createDataFrame([], "id string, content string")).count() == 0
 
