@@ -34,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate rows when the driver ends, on whatever file system it lies."""
+    if path.startswith(("/", "file:")):
+        _WRITTEN.append(path.removeprefix("file:"))
+    else:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -48,8 +57,7 @@ def written(df: DataFrame, name: str = "cut", partition_by: list[str] | None = N
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    if path.startswith(("/", "file:")):
-        _WRITTEN.append(path.removeprefix("file:"))
+    forget_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
