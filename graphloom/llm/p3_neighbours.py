@@ -3,16 +3,17 @@
 Every unit vector is projected on ``DIMS`` Gaussian (2-stable) directions drawn
 from a fixed seed, so a projected squared distance is the true one times a
 chi-square variable of DIMS degrees.  A kd-tree over the projections, its top
-fitted on a bounded sample and applied to all rows, deals the rows to cells of
-bounded size; within a cell a task builds the rest of the tree.  A query visits
+fitted on a bounded sample and applied to all rows, deals the rows to cells; a
+cell of more than ``CELL`` rows is split further by a tree fitted on a sample of
+its own, again and again; within a cell a task builds the rest of the tree.  A query visits
 the leaves in order of projected distance, verifies their vectors by cosine in
 double precision, and stops when the projected distance squared exceeds the
 ``CERTAINTY`` quantile of chi-square times the squared distance of its k-th best
 so far: what is left is then nearer with a chance below 1 - CERTAINTY.
 
 Two rounds: each vector in its own cell, which bounds its k-th distance; then
-only in the other cells whose box the test does not rule out.  Cells with too
-many rows are split by hash, and so are the queries of a cell that many visit.
+only in the other cells whose box the test does not rule out.  Cells that no
+projection splits are split by hash, and so are the queries of a cell that many visit.
 
 Equal vectors are one row of the index with their ids beside it, so a vector
 that a third of all rows share neither fills a cell nor is searched twice.
@@ -39,6 +40,8 @@ WIDTH, K, LEAST_COSINE = 64, 5, 0.68
 DIMS, SEED, CERTAINTY = 8, 20240518, 0.9995
 #: Rows on which the top of the kd-tree is fitted; rows of a cell; queries of one task; leaf of the tree.
 SAMPLE, CELL, QUERIES, LEAF = 20_000, 16_384, 16_384, 128
+#: Rows of one large cell on which its splits are fitted; of all such cells together; rounds of splitting at most.
+FIT, FIT_ALL, ROUNDS = 512, 200_000, 6
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -178,6 +181,46 @@ def search(qv: np.ndarray, qp: np.ndarray, worst: np.ndarray, q_id: np.ndarray,
     return ids, cos
 
 
+def refined(placed: DataFrame, dims: int, most: int) -> DataFrame:
+    """``placed`` with every cell of more than ``most`` rows split by a tree of its own."""
+    spark = placed.sparkSession
+    for _ in range(ROUNDS):
+        counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # about rows / CELL cells
+        over = {c: n for c, n in counts.items() if n > most}
+        if not over:
+            break
+        fit = max(64, min(FIT, FIT_ALL // len(over)))
+        share = spark.createDataFrame([(c, fit / n) for c, n in over.items()], "cell int, share double")
+        drawn = F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+        sample = placed.join(F.broadcast(share), "cell").where(drawn).select("cell", "p").toArrow()
+        cells, points = sample.column("cell").to_numpy(), matrix(sample.column("p"), dims) if sample.num_rows else np.zeros((0, dims))
+        trees, free = {}, max(counts) + 1
+        for c, n in over.items():
+            part = points[cells == c]
+            depth = min(math.ceil(math.log2(n / most)), int(math.log2(max(1, len(part) / 16))))
+            if depth >= 1 and part.var(axis=0).max() > 1e-12:
+                trees[c] = (Cells(part, depth), free)
+                free += 2**depth
+        if not trees:
+            break
+        shared = spark.sparkContext.broadcast(trees)
+
+        def split(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                cell, p = b.column(3).to_numpy().copy(), matrix(b.column(2), dims)
+                for c in np.unique(cell):
+                    if int(c) in shared.value:
+                        tree, start = shared.value[int(c)]
+                        at = np.flatnonzero(cell == c)
+                        cell[at] = start + tree.of(p[at])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cell.astype(np.int32))], names=["vid", "vec", "p", "cell"])
+
+        placed = checkpoint(placed.mapInArrow(split, "vid long, vec array<float>, p array<double>, cell int"))
+    return placed
+
+
 def nearest(vectors: DataFrame, k: int = K, least: float = LEAST_COSINE, width: int = WIDTH, certainty: float = CERTAINTY, dims: int = DIMS) -> DataFrame:
     """(vid, other, cosine): for each distinct vector its k most similar others of cosine >= ``least``."""
     spark = vectors.sparkSession
@@ -199,8 +242,9 @@ def nearest(vectors: DataFrame, k: int = K, least: float = LEAST_COSINE, width:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, dims), pa.int32()), pa.array(p.ravel())), pa.array(tree.of(p).astype(np.int32))], names=["vid", "vec", "p", "cell"])
 
     placed = checkpoint(vectors.select("vid", "vec").mapInArrow(place, "vid long, vec array<float>, p array<double>, cell int"))
+    placed = refined(placed, dims, CELL)
     bounds = [f(F.get("p", F.lit(i))).alias(f"{s}{i}") for s, f in (("lo", F.min), ("hi", F.max)) for i in range(dims)]
-    boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *bounds).collect()  # at most 2 ** depth rows
+    boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *bounds).collect()  # one row a cell, about rows / CELL
     cells = sorted(r["cell"] for r in boxes)
     by = {r["cell"]: r for r in boxes}
     parts = {c: max(1, math.ceil(by[c]["n"] / CELL)) for c in cells}

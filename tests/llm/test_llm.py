@@ -267,6 +267,30 @@ def test_p3_recall(spark):
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_p3_large_cells_are_split_again(spark, monkeypatch):
+    monkeypatch.setattr(p3, "SAMPLE", 32)  # a first tree of two cells at most
+    monkeypatch.setattr(p3, "CELL", 60)
+    v = clustered(900, 21)
+    df = vectors(spark, v)
+    members, distinct = p3.distinct_vectors(p3.usable(df, "id", "embedding", None))
+    w = p3.directions()
+
+    def place(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                x = p3.unit(p3.matrix(b.column(1), 64)) @ w
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 8), pa.int32()), pa.array(x.ravel())), pa.array(np.zeros(len(x), np.int32))], names=["vid", "vec", "p", "cell"])
+
+    one = distinct.mapInArrow(place, "vid long, vec array<float>, p array<double>, cell int")
+    sizes = [r["count"] for r in p3.refined(one, 8, 60).groupBy("cell").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 60
+    got = {(r.id, r.neighbour_id) for r in p3.neighbours(df).collect()}
+    want = brute_neighbours(np.array([f"v{i:04d}" for i in range(900)]), v)
+    assert len(got & want) >= 0.99 * len(want) and len(got) <= len(want)
+
+
 def test_p3_edges(spark):
     extra = [("n", None, None), ("z", [0.0] * 64, None), ("s", [1.0] * 63, None), ("v0000", [1.0] * 64, None), (None, [1.0] * 64, None), ("nan", [float("nan")] * 64, None)]
     same = np.tile(np.arange(1, 65, dtype=np.float32), (40, 1))
