@@ -172,7 +172,7 @@ def phone(r: random.Random) -> str:
 
 
 #: What identity numbers are called.
-PAPERS = ["passport", "Passport", "passport no.", "passport number", "Passport No", "Reisepass", "Reisepassnummer", "Pass-Nr.", "passeport", "passeport n°", "pasaporte", "Personalausweis", "Personalausweisnr.", "Ausweis", "Ausweisnr.", "Ausweisnummer", "ID card", "ID card no.", "identity card number", "national ID", "national identity number", "carte d'identité", "CNI", "DNI", "NIE", "NIF", "cédula", "SSN", "SSN:", "social security number", "social security no.", "Social Security", "Soc. Sec. No.", "Sozialversicherungsnummer", "SV-Nummer", "numéro de sécurité sociale", "n° de sécu", "INSEE", "NSS", "número de la seguridad social", "NI number", "National Insurance number", "NINO", "tax ID", "tax number", "TIN", "Steuer-ID", "Steuernummer", "Steueridentifikationsnummer", "numéro fiscal", "número fiscal", "insurance number", "insurance no.", "Versicherungsnummer", "policy holder number", "driving licence", "driving licence no.", "driver's license", "driver license number", "Führerschein", "Führerscheinnr.", "permis de conduire", "permiso de conducir", "licence number", "licence no."]
+PAPERS = ["NI number", "NI number", "NI no.", "passport", "Passport", "passport no.", "passport number", "Passport No", "Reisepass", "Reisepassnummer", "Pass-Nr.", "passeport", "passeport n°", "pasaporte", "Personalausweis", "Personalausweisnr.", "Ausweis", "Ausweisnr.", "Ausweisnummer", "ID card", "ID card no.", "identity card number", "national ID", "national identity number", "carte d'identité", "CNI", "DNI", "NIE", "NIF", "cédula", "SSN", "SSN:", "social security number", "social security no.", "Social Security", "Soc. Sec. No.", "Sozialversicherungsnummer", "SV-Nummer", "numéro de sécurité sociale", "n° de sécu", "INSEE", "NSS", "número de la seguridad social", "NI number", "National Insurance number", "NINO", "tax ID", "tax number", "TIN", "Steuer-ID", "Steuernummer", "Steueridentifikationsnummer", "numéro fiscal", "número fiscal", "insurance number", "insurance no.", "Versicherungsnummer", "policy holder number", "driving licence", "driving licence no.", "driver's license", "driver license number", "Führerschein", "Führerscheinnr.", "permis de conduire", "permiso de conducir", "licence number", "licence no."]
 SHAPES = ["AA 00 00 00 A", "AA 00 00 00 A", "000-00-0000", "000 00 0000", "000000000", "00 000 000 000", "00000000000", "A0000000", "AA0000000", "A00000000", "AA000000", "00AA00000", "AA 00 00 00 A", "AA000000A", "A00AA0000", "A0AA00A00", "00000000A", "00000000-A", "A0000000A", "A-0000000-A", "0000-0000-A", "0000-0000", "0 00 00 00 000 000 00", "000000000000000", "00/000/00000", "000/0000/0000", "00 000000 A 000", "00000000A000", "AAAAA000000AA", "AAAAA000000AA0AA", "AAAA 000000 0AA", "A000-0000-0000", "000000000000", "AA-000000", "000.000.000-00", "000-000-000", "AAA000000"]
 
 
