@@ -224,7 +224,10 @@ def memory_current(spark: SparkSession, d: str) -> DataFrame:
     return memory.current(table(spark, d, "entity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_RECALL = BM25_SQL.replace("SELECT doc_id AS id,", "SELECT id,").replace("FROM documents WHERE text IS NOT NULL", "FROM (SELECT id, max(struct_pack(valid_from := valid_from, entity_type := entity_type, content := content)).content AS text FROM entity WHERE valid_until IN (0, 9223372036854775807) GROUP BY id) WHERE text IS NOT NULL")
+
+
+@query(_RECALL.replace("SELECT id, round(s * 1e6) AS score FROM s ORDER BY s DESC, id LIMIT 20", "SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s DESC, id)) AS score FROM s ORDER BY s DESC, id LIMIT 10"))
 def memory_recall(spark: SparkSession, d: str) -> DataFrame:
     return _store(spark, d).recall("frozen vector index", None, 10)
 
