@@ -103,3 +103,27 @@ g AS (SELECT a, b FROM l WHERE i >= 0.7 * (n - i) - 1e-9 UNION ALL SELECT sid, s
 SELECT DISTINCT least(ma.id, mb.id) AS id_a, greatest(ma.id, mb.id) AS id_b
 FROM g JOIN m ma ON ma.sid = g.a JOIN m mb ON mb.sid = g.b WHERE ma.id <> mb.id
 """
+_USABLE = r"""u AS (SELECT id, embedding::DOUBLE[] AS v, received_at FROM store_request WHERE id IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+o AS (SELECT id, v FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY received_at IS NULL, received_at, v) = 1),
+s AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 12) AS c FROM o a JOIN o b ON a.id <> b.id)"""
+ORACLES["p3_found"] = f"""
+WITH {_USABLE}
+SELECT id, other AS neighbour_id FROM s WHERE c >= 0.68 QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, other) <= 5
+"""
+ORACLES["p7_found"] = f"""
+WITH RECURSIVE {_USABLE},
+e AS (SELECT id, other FROM s WHERE c >= 0.68),
+r AS (SELECT id, id AS g FROM o UNION SELECT e.other, r.g FROM r JOIN e ON e.id = r.id),
+l AS (SELECT id, min(g) AS cluster_id FROM r GROUP BY id)
+SELECT cluster_id, id FROM l WHERE cluster_id IN (SELECT cluster_id FROM l GROUP BY 1 HAVING count(*) >= 6)
+"""
+ORACLES["p1_found"] = r"""
+WITH b AS (SELECT batch_id, entities FROM store_batch WHERE batch_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY received_at NULLS LAST) = 1),
+i AS (SELECT batch_id, unnest(range(0, len(entities)))::BIGINT AS pos, unnest(entities).content AS t FROM b),
+w AS (SELECT batch_id, pos, list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS w FROM i WHERE t IS NOT NULL),
+h AS (SELECT DISTINCT -1::BIGINT AS batch_id, -1::BIGINT AS pos, list_sort(list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'))) AS w FROM store_request WHERE content IS NOT NULL),
+x AS (SELECT * FROM h WHERE len(w) > 0 UNION ALL SELECT * FROM w WHERE len(w) > 0)
+SELECT DISTINCT w.batch_id, w.pos FROM w JOIN x ON (x.batch_id, x.pos) < (w.batch_id, w.pos) AND len(x.w) >= 0.7 * len(w.w) - 1e-9 AND len(w.w) >= 0.7 * len(x.w) - 1e-9
+WHERE len(w.w) > 0 AND len(list_intersect(w.w, x.w)) >= 0.7 * (len(w.w) + len(x.w) - len(list_intersect(w.w, x.w))) - 1e-9
+"""
