@@ -43,7 +43,7 @@ LIKENESS = 0.7
 #: Rows in a block before it is split by one more shared word.
 BLOCK = 256
 #: Rows of blocks that one task multiplies; entries it holds at a time; grams that are accumulated between two looks at the bound.
-TASK_ROWS, PAIRS, STRIDE = 60_000, 1_000_000, 8
+TASK_ROWS, PAIRS, STRIDE = 200_000, 1_000_000, 8
 #: Words that get a place in the global order by frequency; all rarer ones come before, by hash.
 FREQUENT = 50_000
 SETS = "sid long, n int, toks array<long>, b0 long, b1 long, b2 long, b3 long"
