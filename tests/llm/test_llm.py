@@ -1,6 +1,7 @@
 """Each operator against brute force on small inputs, and its edge cases."""
 
 import itertools
+import os
 import random
 import re
 
@@ -580,3 +581,19 @@ def test_p10_boilerplate_and_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit("x"))
     assert {r.doc_id for r in p10.residue(df).collect()} == set(range(8))
     assert p10.residue(df.where("false")).count() == 0
+
+
+def left_behind(spark):
+    from graphloom.runtime import shared_dir
+
+    d = f"{shared_dir(spark)}/tables".removeprefix("file:")
+    return set(os.listdir(d)) if os.path.isdir(d) else set()
+
+
+def test_p1_leaves_only_its_result(spark):
+    texts = near_texts(40, 6)
+    rows = [(i, texts[i * 10 : i * 10 + 10]) for i in range(4)]
+    before = left_behind(spark)
+    got = p1.repeated_items(batches(spark, rows), spark.createDataFrame([], "content string"))
+    assert len(left_behind(spark) - before) == 2  # one for each group of batches
+    assert got.count() > 0
