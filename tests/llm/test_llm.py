@@ -597,3 +597,27 @@ def test_p1_leaves_only_its_result(spark):
     got = p1.repeated_items(batches(spark, rows), spark.createDataFrame([], "content string"))
     assert len(left_behind(spark) - before) == 2  # one for each group of batches
     assert got.count() > 0
+
+
+def test_p3_rounds_of_few_visits(spark, monkeypatch):
+    """Far more cells than one round visits; what is written while it runs is bounded."""
+    from graphloom import runtime
+
+    sizes = []
+
+    def measured(df, *a, **k):
+        out = runtime.written(df, *a, **k)
+        sizes.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(p3, "CELL", 40)
+    monkeypatch.setattr(p3, "VISITS", 2, raising=False)
+    monkeypatch.setattr(p3, "checkpoint", measured)
+    v = clustered(1200, 5)
+    before = left_behind(spark)
+    got = p3.neighbours(vectors(spark, v)).select("id", "neighbour_id")
+    assert max(n for c, n in sizes if "worst" in c) <= 2 * 1200
+    assert len(left_behind(spark) - before) == 2  # ids and lists
+    got = {tuple(r) for r in got.collect()}
+    want = brute_neighbours(np.array([f"v{i:04d}" for i in range(1200)]), v)
+    assert len(got & want) >= 0.99 * len(want) and len(got) <= len(want)
