@@ -11,12 +11,14 @@ which only the entries above a size-derived bound matter.  It is taken in blocks
   rows with the same first shared grams; a block of more than ``block`` rows is
   split by one more shared gram, again and again, so no block is ever large,
   however common a gram, and no pair is lost.
-* Blocks are dealt to tasks, many at a time.  A task holds the incidence of its
-  rows once, sorted by row and gram.  An entry of a block's product is started
-  only if its sizes, and a 256-bit image of the two rows, allow the overlap that
-  the bound asks for; its count is then accumulated over the smaller row's grams,
-  ``STRIDE`` at a time, and the entry is discarded as soon as what is left of the
-  row cannot reach the bound any more.
+* The rows of a block meet by their sizes and a 128-bit image only; an entry of a
+  block's product is started only if these allow the overlap that the bound asks
+  for.  Started entries, each once, get the grams of their rows; the count is
+  accumulated over the smaller row's grams, ``STRIDE`` at a time, and the entry is
+  discarded as soon as what is left of the row cannot reach the bound any more.
+* Blocks of one depth are taken in waves of ``WAVE`` rows for each row of the matrix,
+  and only rows of blocks that are split again are written, so the disk that is in
+  use at once follows the matrix, not the number of blocks.
 
 Exact: every pair of likeness >= t is found.  Edge cases: NULL, empty and
 wordless texts have no likeness and no partners; several texts of one id each
@@ -32,20 +34,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.p6_components import components
 from graphloom.llm.words import PY_WORD, least_overlap, words
-from graphloom.runtime import checkpoint, written
+from graphloom.runtime import checkpoint, release, scratch, shuffles_end, written
 
 LIKENESS = 0.7
 #: Rows in a block before it is split by one more shared word.
 BLOCK = 256
-#: Rows of blocks that one task multiplies; entries it holds at a time; grams that are accumulated between two looks at the bound.
+#: Rows of blocks in a wave for each row of the matrix.
+WAVE = 8
+#: Rows of a block that is not split any more on a side of a tile, twice; entries held at a time; grams that are accumulated between two looks at the bound.
 TASK_ROWS, PAIRS, STRIDE = 200_000, 1_000_000, 8
 #: Words that get a place in the global order by frequency; all rarer ones come before, by hash.
 FREQUENT = 50_000
+MET = "key long, sid long, pos int, n int, i0 long, i1 long, other long"
 SETS = "sid long, n int, toks array<long>, b0 long, b1 long, b2 long, b3 long"
 
 
@@ -59,15 +64,20 @@ def frequent_words(texts: DataFrame, text: str, k: int = FREQUENT, gram: int = 1
     w = words(F.col(text))
     if gram > 1:
         w = F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - gram + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(gram)), " ")))
-    w = texts.select(F.explode(F.array_distinct(w)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    top = w.where("c > 1").orderBy(F.desc("c"), "w").limit(k).select("w").collect()
+    with shuffles_end(texts.sparkSession):
+        w = texts.select(F.explode(F.array_distinct(w)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+        top = w.where("c > 1").orderBy(F.desc("c"), "w").limit(k).select("w").collect()
     return {r[0]: len(top) - i for i, r in enumerate(top)}
 
 
 def with_sets(texts: DataFrame, ids: list[str], text: str, order: dict[str, int], gram: int = 1) -> DataFrame:
-    """(ids..., sid, n, toks, b0..b3): each text with words as its set of words in the global order."""
+    """(ids..., sid, n, toks, b0..b3): each text with words as its set of words in the global order.
+
+    A word of ``order`` stands by its place, any other by its hash.
+    """
     places = texts.sparkSession.sparkContext.broadcast(order)
     kinds = dict(texts.dtypes)
+    order_given = bool(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, h64 = places.value.get, xxhash.xxh64_intdigest
@@ -81,10 +91,12 @@ def with_sets(texts: DataFrame, ids: list[str], text: str, order: dict[str, int]
                         continue
                     a = np.array([h64(x) for x in w], np.uint64)
                     p = np.array([get(x, 0) for x in w], np.int64)
-                    a = a[np.lexsort((a, p))]
+                    at = np.lexsort((a, p))
+                    a, p = a[at], p[at]
+                    tok = np.where(p > 0, p, (a | np.uint64(1 << 63)).view(np.int64)) if order_given else a.view(np.int64)
                     image = np.zeros(4, np.uint64)
                     np.bitwise_or.at(image, (a >> np.uint64(8)) & np.uint64(3), np.uint64(1) << (a & np.uint64(63)))
-                    rows.append(r), ns.append(len(a)), toks.append(a.view(np.int64)), bits.append(image.view(np.int64))
+                    rows.append(r), ns.append(len(a)), toks.append(tok), bits.append(image.view(np.int64))
                     sids.append(xxhash.xxh64_intdigest(np.sort(a).tobytes()))
                 image = np.array(bits, np.int64).reshape(-1, 4)
                 flat = np.concatenate(toks) if toks else np.zeros(0, np.int64)
@@ -104,40 +116,126 @@ def _alpha(n, t: float):
     return F.ceil(n * F.lit(t) - 1e-9).cast("int")
 
 
-def blocks(sets: DataFrame, t: float = LIKENESS, block: int = BLOCK, sides: str | None = None) -> DataFrame:
-    """(key, sid, n, b0..b3[, side]): rows that meet under a key, at most ``block`` of them or all alike.
+def meet(batches: Iterator[pa.RecordBatch], t: float, block: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (key, sid, pos, n, i0, i1, c) with each key's together: of blocks of up to ``block`` rows the pairs that
+    sizes and images allow, as (sid, other), other rows as they are."""
+    names = [x.split()[0] for x in MET.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
-    With ``sides`` (a boolean column: true for the rows that are asked for), a
-    block without such a row is dropped, and only those rows' blocks are split.
-    """
-    extra = [sides] if sides else []
-    keep = ["sid", "n", "b0", "b1", "b2", "b3", *extra]
+    def pairs(key: np.ndarray, sid: np.ndarray, n: np.ndarray, i0: np.ndarray, i1: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.append(start, len(key)))
+        place = np.arange(len(key)) - np.repeat(start, length)  # of a row in its block
+        left = np.repeat(length, length) - 1 - place  # rows behind it
+        at = 0
+        while at < len(key):  # as many rows of blocks as PAIRS pairs allow, with the rows behind them
+            upto = at + max(1, int(np.searchsorted(np.cumsum(left[at:]), PAIRS, side="right")))
+            x = np.repeat(np.arange(at, min(upto, len(key))), left[at:upto])
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left[at:upto]) - left[at:upto], left[at:upto])
+            at = upto
+            total = n[x] + n[y]
+            need = np.ceil(t / (1 + t) * total - 1e-9).astype(np.int64)
+            ok = np.flatnonzero((need <= np.minimum(n[x], n[y])) & (sid[x] != sid[y]))
+            x, y, most = x[ok], y[ok], (total - 2 * need)[ok]
+            differ = np.bitwise_count(i0[x] ^ i0[y]).astype(np.int64) + np.bitwise_count(i1[x] ^ i1[y])
+            x, y = x[differ <= most], y[differ <= most]
+            if len(x):
+                both = np.unique(np.stack([np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])]), axis=1)
+                void = [pa.nulls(both.shape[1], k) for k in kinds]
+                yield pa.RecordBatch.from_arrays([void[0], pa.array(both[0]), *void[2:6], pa.array(both[1])], names=names)
+
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if block is not None:
+            hot = np.flatnonzero(b.column(6).to_numpy() > block)
+            if len(hot):
+                rows = b.take(pa.array(hot))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:6], pa.nulls(len(hot), pa.int64())], names=names)
+            b = b.take(pa.array(np.flatnonzero(b.column(6).to_numpy() <= block)))
+        new = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy().astype(np.int64), *(b.column(i).to_numpy().view(np.uint64) for i in (4, 5))]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if len(held[0]):
+            whole = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
+            if whole:
+                yield from pairs(*(x[:whole] for x in held))
+                held = [x[whole:] for x in held]
+    if held is not None and len(held[0]):
+        yield from pairs(*held)
+
+
+def met(state: DataFrame, t: float, block: int | None) -> DataFrame:
+    """``MET``, written: the pairs of the blocks of ``state``, and the rows of blocks that are too large."""
+    counted = state.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1")
+    rows = counted.select("key", "sid", F.col("pos").cast("int").alias("pos"), "n", "i0", "i1", "c")
+    return checkpoint(rows.mapInArrow(lambda batches: meet(batches, t, block), MET))
+
+
+def tiled(rows: DataFrame) -> DataFrame:
+    """Blocks of more than ``TASK_ROWS`` rows, all of which may reach the bound, as tiles of pairs of parts."""
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TASK_ROWS)
+    parts = held.select("key", F.ceil(F.col("c") / (TASK_ROWS // 2)).cast("int").alias("parts"))  # at most rows / TASK_ROWS keys
+    rows = rows.join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("i", F.pmod(F.hash("sid"), F.col("parts"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.xxhash64("key", F.least("i", "o"), F.greatest("i", "o"))
+    return rows.withColumn("key", F.when(F.col("parts") > 1, tile).otherwise(F.col("key"))).drop("parts", "i", "o")
+
+
+def candidates(sets: DataFrame, t: float = LIKENESS, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: pairs of rows that share a block and whose sizes and images allow likeness ``t``."""
+    keep = ["sid", "n", "i0", "i1"]
+    sets = sets.select("sid", "n", "toks", F.col("b0").bitwiseOR(F.col("b2")).alias("i0"), F.col("b1").bitwiseOR(F.col("b3")).alias("i1"))
     first = F.col("n") - _alpha(F.col("n"), t)  # the words that may lie outside the overlap
+    n, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum(first + 1), F.lit(0))).first()
+    if not n:
+        return sets.sparkSession.createDataFrame([], "a long, b long")
+    waves = max(1, -(-int(total) // (WAVE * n)))
     state = sets.select(F.posexplode(F.slice("toks", F.lit(1), (first + 1).cast("int"))).alias("pos", "key"), *keep)
-    level, out = 1, None
+    found = [met(state.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == w), t, block) for w in range(waves)]
+    done = [_pairs_of(x) for x in found]
+    level = 1
     while True:
-        state = checkpoint(state)
-        asked = F.sum(F.col(sides).cast("int")) if sides else F.count(F.lit(1))
-        count = state.groupBy("key").agg(F.count(F.lit(1)).alias("c"), asked.alias("asked")).where("c > 1 and asked > 0")
-        count = checkpoint(count)
-        cold = checkpoint(state.join(count.where(F.col("c") <= block).select("key"), "key", "left_semi").select("key", *keep))
-        hot = checkpoint(state.join(count.where(F.col("c") > block).select("key"), "key", "left_semi"))
-        out = cold if out is None else out.unionByName(cold)
-        if hot.isEmpty():
-            return out
+        hot = None
+        for x in found:
+            rows = x.where("other is null")
+            hot = rows if hot is None else hot.unionByName(rows)
+        upto = F.least(F.col("n"), F.col("n") - _alpha(F.col("n"), t) + level + 1)
+        total = hot.agg(F.sum(F.greatest(upto - F.col("pos") - 1, F.lit(0)))).first()[0]
+        if total is None:
+            release(*found)
+            break
+        hot = checkpoint(hot.drop("other"))
+        release(*found)
         # Rows whose overlap may end here: pairs of sizes for which the words so far suffice.
         ends = hot.where(_alpha(F.col("n"), t) <= level)
         ends = ends.withColumn("m", F.explode(F.sequence(F.lit(level), F.floor(F.lit(level) / t + 1e-9).cast("int"))))
         ends = ends.where(least_overlap(F.col("n"), F.col("m"), t) <= level)
-        ends = ends.withColumn("key", F.xxhash64("key", F.least("n", "m"), F.greatest("n", "m"), F.lit("end")))
-        out = out.unionByName(checkpoint(ends.select("key", *keep)))
+        ends = ends.withColumn("key", F.xxhash64("key", F.least("n", "m"), F.greatest("n", "m"), F.lit("end"))).drop("m")
+        if not ends.isEmpty():
+            last = met(tiled(ends), t, None)
+            done.append(_pairs_of(last))
+            release(last)
         # Everything else shares at least one more word: the first of them splits the block.
-        rest = hot.join(sets.select("sid", "toks").distinct() if sides else sets.select("sid", "toks"), "sid")
-        upto = F.least(F.col("n"), F.col("n") - _alpha(F.col("n"), t) + level + 1)
-        rest = rest.where(F.col("pos") + 1 < upto)
-        nxt = F.transform(F.sequence(F.col("pos") + 1, (upto - 1).cast("int")), lambda i: F.struct(i.alias("pos"), F.get("toks", i).alias("tok")))
-        state = rest.withColumn("x", F.explode(nxt)).select(F.col("x.pos").alias("pos"), F.xxhash64("key", "x.tok").alias("key"), *keep)
+        waves = max(1, -(-int(total) // (WAVE * n)))
+        found = []
+        for w in range(waves):
+            rest = hot.where((F.col("pos") + 1 < upto) & (F.pmod(F.xxhash64("key"), F.lit(waves)) == w)).join(sets.select("sid", "toks"), "sid")
+            nxt = F.transform(F.sequence(F.col("pos") + 1, (upto - 1).cast("int")), lambda i: F.struct(i.alias("pos"), F.get("toks", i).alias("tok")))
+            state = rest.withColumn("x", F.explode(nxt)).select(F.col("x.pos").alias("pos"), F.xxhash64("key", "x.tok").alias("key"), *keep)
+            found.append(met(state, t, block))
+            done.append(_pairs_of(found[-1]))
+        release(hot)
         level += 1
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def _pairs_of(rows: DataFrame) -> DataFrame:
+    """(a, b), written: the pairs of ``MET``, each once."""
+    return checkpoint(rows.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct())
 
 
 def accumulated(row: np.ndarray, gram: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
@@ -170,89 +268,42 @@ def accumulated(row: np.ndarray, gram: np.ndarray, size: np.ndarray, a: np.ndarr
     return np.where(count >= need, count, 0)
 
 
-def products(met: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """(a, b, likeness), a < b: the entries above the bound of the products of all blocks (key, sid)."""
-    # rows that all reach the bound stay in one block, however many: such a block is taken in tiles of pairs of parts
-    held = met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TASK_ROWS)
-    parts = held.select("key", F.ceil(F.col("c") / (TASK_ROWS // 2)).cast("int").alias("parts"))  # at most rows / TASK_ROWS keys
-    met = met.join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    met = met.withColumn("i", F.pmod(F.hash("sid"), F.col("parts"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tile = F.xxhash64("key", F.least("i", "o"), F.greatest("i", "o"))
-    met = checkpoint(met.select(F.when(F.col("parts") > 1, tile).otherwise(F.col("key")).alias("key"), "sid"))
-    n = met.count()
-    tasks = max(1, -(-n // TASK_ROWS))
-    dealt = met.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int"))
-    rows = dealt.groupBy("task", "sid").agg(F.collect_list("key").alias("keys")).join(sets.select("sid", "n", "toks", "b0", "b1", "b2", "b3"), "sid")
-
-    def multiply(block: pa.Table) -> pa.Table:
-        block = block.sort_by("sid").combine_chunks()
-        sid, size = block.column("sid").to_numpy(), block.column("n").to_numpy().astype(np.int64)
-        image = np.stack([block.column(f"b{i}").to_numpy().view(np.uint64) for i in range(4)])
-        toks = block.column("toks").combine_chunks()
-        row = np.repeat(np.arange(len(sid)), size)
-        gram = np.unique(toks.flatten().to_numpy(), return_inverse=True)[1].astype(np.int64)
-        keys = block.column("keys").combine_chunks()
-        key = keys.flatten().to_numpy()
-        holder = np.repeat(np.arange(len(sid)), keys.value_lengths().to_numpy())
-        order = np.lexsort((holder, key))
-        key, holder = key[order], holder[order]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        length = np.diff(np.append(start, len(key)))
-        out_a, out_b, out_c = [], [], []
-        seen_a: list[np.ndarray] = []
-        seen_b: list[np.ndarray] = []
-
-        def settle() -> None:
-            if not seen_a:
-                return
-            a, b = np.concatenate(seen_a), np.concatenate(seen_b)
-            seen_a.clear(), seen_b.clear()
-            pair = np.unique(a * len(sid) + b)  # blocks of a task may share pairs
-            a, b = pair // len(sid), pair % len(sid)
-            c = accumulated(row, gram, size, a, b, t)
-            ok = c > 0
-            out_a.append(sid[a[ok]]), out_b.append(sid[b[ok]]), out_c.append(c[ok] / (size[a[ok]] + size[b[ok]] - c[ok]))
-
-        held = 0
-        place = np.arange(len(key)) - np.repeat(start, length)  # of a row in its block
-        left = np.repeat(length, length) - 1 - place  # rows behind it
-        at = 0
-        while at < len(key):  # as many rows of blocks as PAIRS pairs allow, with the rows behind them
-            upto = at + max(1, int(np.searchsorted(np.cumsum(left[at:]), PAIRS, side="right")))
-            x = np.repeat(np.arange(at, min(upto, len(key))), left[at:upto])
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left[at:upto]) - left[at:upto], left[at:upto])
-            a, b = holder[x], holder[y]
-            total = size[a] + size[b]
-            need = np.ceil(t / (1 + t) * total - 1e-9).astype(np.int64)
-            possible = (need <= np.minimum(size[a], size[b])) & (a != b)
-            a, b, total, need = a[possible], b[possible], total[possible], need[possible]
-            differ = sum(np.bitwise_count(im[a] ^ im[b]).astype(np.int32) for im in image)
-            ok = differ <= total - 2 * need
-            seen_a.append(np.minimum(a[ok], b[ok])), seen_b.append(np.maximum(a[ok], b[ok]))
-            held += int(ok.sum())
-            if held > PAIRS:
-                settle()
-                held = 0
-            at = upto
-        settle()
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        return pa.table({"a": join(out_a, np.int64), "b": join(out_b, np.int64), "likeness": join(out_c, float)})
+def products(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(a, b, likeness): the entries (a, b) of the product that reach the bound."""
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("toks").alias(f"t{x}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
-    return rows.groupBy("task").applyInArrow(multiply, "a long, b long, likeness double").distinct()
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = b.num_rows
+            size = np.concatenate([b.column(i).value_lengths().to_numpy() for i in (2, 3)]).astype(np.int64)
+            gram = np.unique(np.concatenate([b.column(i).flatten().to_numpy() for i in (2, 3)]), return_inverse=True)[1].astype(np.int64)
+            c = accumulated(np.repeat(np.arange(2 * m), size), gram, size, np.arange(m), np.arange(m, 2 * m), t)
+            ok = np.flatnonzero(c)
+            rows = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(c[ok] / (size[ok] + size[m + ok] - c[ok]))], names=["a", "b", "likeness"])
+
+    return full.mapInArrow(multiply, "a long, b long, likeness double")
 
 
 def similar_sets(sets: DataFrame, t: float = LIKENESS, block: int = BLOCK) -> DataFrame:
-    """(a, b, likeness), a < b: all pairs of different sets (one row each) of likeness >= ``t``."""
-    return products(checkpoint(blocks(sets, t, block).select("key", "sid")), sets, t)
+    """(a, b, likeness), a < b, written: all pairs of different sets (one row each) of likeness >= ``t``."""
+    with scratch() as keep:
+        out = checkpoint(products(candidates(sets, t, block), sets, t))
+        keep(out)
+    return out
 
 
 def incidence(df: DataFrame, id_col: str, text: str, gram: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(id, sid) and the distinct sets behind it."""
+    """(id, sid) and the distinct sets behind it, both written."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").distinct()
     order = frequent_words(rows, "text", gram=gram)
     whole = written(with_sets(rows, ["id"], "text", order, gram), "incidence")
-    members = whole.select("id", "sid").distinct()
+    members = checkpoint(whole.select("id", "sid").distinct())
     sets = checkpoint(whole.drop("id").dropDuplicates(["sid"]))
+    release(whole)
     return members, sets
 
 
@@ -260,6 +311,7 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", t:
     """(id_a, id_b), id_a < id_b: ids with texts of likeness >= ``t``."""
     members, sets = incidence(df, id_col, text, gram)
     pairs = similar_sets(sets, t, block).select("a", "b")
+    release(sets)
     ma, mb = members.select(F.col("id").alias("ia"), F.col("sid").alias("a")), members.select(F.col("id").alias("ib"), F.col("sid").alias("b"))
     across = pairs.join(ma, "a").join(mb, "b").where("ia <> ib")
     across = across.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
@@ -273,7 +325,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "id", text: str = "conten
     Links are between different sets of words; equal sets are members of one.
     """
     members, sets = incidence(df, id_col, text, gram)
-    pairs = checkpoint(similar_sets(sets, t, block).select("a", "b"))
+    pairs = similar_sets(sets, t, block).select("a", "b")
+    release(sets)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
     group = components(pairs, "a", "b").select(F.col("id").alias("sid"), F.col("group_id").alias("g"))
     several = members.groupBy("sid").agg(F.count(F.lit(1)).alias("c"))

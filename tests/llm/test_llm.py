@@ -621,3 +621,25 @@ def test_p3_rounds_of_few_visits(spark, monkeypatch):
     got = {tuple(r) for r in got.collect()}
     want = brute_neighbours(np.array([f"v{i:04d}" for i in range(1200)]), v)
     assert len(got & want) >= 0.99 * len(want) and len(got) <= len(want)
+
+
+def test_p5_blocks_are_not_written(spark, monkeypatch):
+    """Rows of blocks that need no split, and rows beside their sets, stay out of the tables."""
+    from graphloom import runtime
+
+    sizes = []
+
+    def measured(df, *a, **k):
+        out = runtime.written(df, *a, **k)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(p5, "checkpoint", measured)
+    r = random.Random(4)
+    texts = [" ".join(f"w{x}" for x in r.sample(range(400), 40)) for _ in range(200)]
+    df = spark.createDataFrame([(f"i{i:03d}", t) for i, t in enumerate([*texts, *texts[:5]])], "id string, content string")
+    before = left_behind(spark)
+    got = p5.near_duplicates(df)
+    assert max(sizes) <= 205
+    assert len(left_behind(spark) - before) <= 2  # ids and pairs
+    assert got.count() == 5
