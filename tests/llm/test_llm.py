@@ -643,3 +643,30 @@ def test_p5_blocks_are_not_written(spark, monkeypatch):
     assert max(sizes) <= 205
     assert len(left_behind(spark) - before) <= 2  # ids and pairs
     assert got.count() == 5
+
+
+def test_p7_completion_in_groups_of_cells(spark, monkeypatch):
+    """Vectors travel to other cells in groups and are not written there; only what the result reads stays."""
+    from graphloom import runtime
+
+    sizes = []
+
+    def measured(df, *a, **k):
+        out = runtime.written(df, *a, **k)
+        sizes.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(p7, "VISITS", 1, raising=False)
+    monkeypatch.setattr(p7, "checkpoint", measured)
+    v = clustered(600, 4)
+    before = left_behind(spark)
+    got = p7.Forest(vectors(spark, v)).flat()
+    assert max(n for c, n in sizes if "vec" in c) <= 600
+    assert len(left_behind(spark) - before) <= 5  # ids, core, edges, labels, nodes
+    u = p3.unit(v)
+    near = (u @ u.T >= 0.68).astype(np.float32)
+    while not np.array_equal(near, more := (near @ near > 0).astype(np.float32)):
+        near = more
+    first = near.argmax(axis=1)
+    want = {(f"v{first[i]:04d}", f"v{i:04d}") for i in range(600) if (first == first[i]).sum() >= 6}
+    assert {tuple(r) for r in got.collect()} == want
