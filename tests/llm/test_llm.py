@@ -670,3 +670,28 @@ def test_p7_completion_in_groups_of_cells(spark, monkeypatch):
     first = near.argmax(axis=1)
     want = {(f"v{first[i]:04d}", f"v{i:04d}") for i in range(600) if (first == first[i]).sum() >= 6}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_p1_cuts_each_text_once(spark, tmp_path, monkeypatch):
+    """An append runs the rolling hash over a new text once, not again to lay out its files."""
+    at, cut = str(tmp_path / "cut"), p1.with_chunks
+
+    def counted(texts, *a):
+        def run(batches, at=at):
+            for b in batches:
+                with open(at, "a") as f:
+                    f.write("".join(f"{x}\n" for x in b.column(0).to_pylist()))
+                yield b
+
+        rows = texts.select("sid", "text")
+        return cut(rows.mapInArrow(run, rows.schema), *a)
+
+    monkeypatch.setattr(p1, "with_chunks", counted)
+    store = p1.ChunkStore(spark, str(tmp_path / "store"))
+    texts = [(f"text {i} of some words {i * 7} and others {i % 5}",) for i in range(50)]
+    store.append(spark.createDataFrame(texts, "t string"), "t")
+    store.append(spark.createDataFrame(texts[:10] + [("one more text that is new",)], "t string"), "t")
+    with open(at) as f:
+        sids = f.read().split()
+    assert len(sids) == len(set(sids)) == 51
+    assert store.chunks().count() == store.chunks().distinct().count()
