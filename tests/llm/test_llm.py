@@ -695,3 +695,31 @@ def test_p1_cuts_each_text_once(spark, tmp_path, monkeypatch):
         sids = f.read().split()
     assert len(sids) == len(set(sids)) == 51
     assert store.chunks().count() == store.chunks().distinct().count()
+
+
+def test_p7_visits_measure_only_the_cells_of_their_group(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "angles")
+
+    class Counted:
+        def __getattr__(self, name):
+            import numpy
+
+            return getattr(numpy, name)
+
+        def degrees(self, x):
+            import numpy
+
+            with open(at, "a") as f:
+                f.write(f"{x.size}\n")
+            return numpy.degrees(x)
+
+    v = p3.unit(clustered(300, 4))
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vid long, vec array<float>")
+    labels = spark.createDataFrame([(i, i) for i in range(300)], "vid long, c long")
+    monkeypatch.setattr(p7, "VISITS", 1)
+    monkeypatch.setattr(p7, "np", Counted())
+    got = p7.missing_links(rows, labels, centres=v[::10].copy())
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got.collect()} == {(j, i) for i in range(300) for j in range(i) if v[i] @ v[j] >= 0.68}
+    with open(at) as f:
+        total = sum(map(int, f.read().split()))
+    assert total / 300 <= 1 + 5 * 30  # to place, to count and to visit; not 30 again for each group
